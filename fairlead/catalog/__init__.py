@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from fairlead.catalog import drivers  # noqa: F401
+from fairlead.catalog import drivers, forecasting, reports, scenario  # noqa: F401
 from fairlead.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -113,7 +113,7 @@ def fmt_dollars(x: Column | str) -> Column:
 
 
 def fmt_percent(x: Column | str) -> Column:
-    return F.format_string("%.1f%%", floor_round(col(x) * 100.0, 1))
+    return F.when(col(x).isNotNull(), F.format_string("%.1f%%", floor_round(col(x) * 100.0, 1)))
 
 
 def fmt_millions(x: Column | str) -> Column:
@@ -121,7 +121,7 @@ def fmt_millions(x: Column | str) -> Column:
 
 
 def fmt_billions(x: Column | str) -> Column:
-    return F.format_string("$%.2fB", floor_round(col(x) / 1e9, 2))
+    return F.when(col(x).isNotNull(), F.format_string("$%.2fB", floor_round(col(x) / 1e9, 2)))
 
 
 def fmt_thousands(x: Column | str) -> Column:

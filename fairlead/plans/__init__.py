@@ -1,0 +1 @@
+"""Whole jobs: forecast run, reporting view and SQL surface."""
