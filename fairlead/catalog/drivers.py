@@ -83,7 +83,7 @@ def q_driver_distributions(spark, sf_dir):
     return shown(D.driver_distributions(monthly(spark, sf_dir)))
 
 
-_RATE_MEDIANS = ", ".join(f"{r(f'median({c})')} as {c}_base" for c in RATES)
+_RATE_MEDIANS = ", ".join(f"{r(fr(f'median({c})', 9))} as {c}_base" for c in RATES)
 
 
 @query("driver_medians", with_ctes("monthly", f"""

@@ -26,7 +26,7 @@ LAST = month_before(AS_OF, 1)
 CUTOFFS = [month_before(AS_OF, 13), month_before(AS_OF, 7)]
 CV_HORIZON = 6
 SIMPLE = list(M.SIMPLE_MODELS)
-RUN_TS = F.lit(f"{AS_OF} 04:00:00").cast("timestamp_ntz")
+RUN_TS = f"{AS_OF} 04:00:00"
 
 _SER = """ser as (
   select 'load_factor' as driver, concat_ws('/', brand, trade, ship_class) as unique_id, month as ds, load_factor as y
@@ -75,13 +75,13 @@ fit as (select a.c, a.driver, a.unique_id, coalesce(covar_pop(a.z, b.z)/nullif(v
   join z b on a.c = b.c and a.driver = b.driver and a.unique_id = b.unique_id and b.i = a.i-1 group by all),
 ar as (select f.c, f.driver, f.unique_id, f1, ma-f1*mb as f0, z as zn from fit f
   join z on z.c = f.c and z.driver = f.driver and z.unique_id = f.unique_id and z.i = z.n-1),
-sr as (select i.c, i.driver, i.unique_id, 'sar1' as model, h, sn.ds,
+sr as (select i.c, i.driver, i.unique_id, 'sar1' as model, hs.h, sn.ds,
     case when ar.f1 is null then sn.yhat else
-      d.y + pow(f1, h)*zn + f0*case when f1 = 1 then h else (1-pow(f1, h))/(1-f1) end end as yhat
+      d.y + pow(f1, hs.h)*zn + f0*case when f1 = 1 then hs.h else (1-pow(f1, hs.h))/(1-f1) end end as yhat
   from ids i cross join hs
   join sn on sn.c = i.c and sn.driver = i.driver and sn.unique_id = i.unique_id and sn.h = hs.h
   left join ar on ar.c = i.c and ar.driver = i.driver and ar.unique_id = i.unique_id
-  left join dn d on d.c = i.c and d.driver = i.driver and d.unique_id = i.unique_id and d.i = i.n-12+h-1)"""
+  left join dn d on d.c = i.c and d.driver = i.driver and d.unique_id = i.unique_id and d.i = i.n-12+hs.h-1)"""
 
 
 _FINAL = _dense([LAST])
@@ -391,7 +391,7 @@ def _monthly_at(spark, sf_dir, as_of):
     return monthly_drivers(history(spark, sf_dir, as_of))
 
 
-_BASE = ", ".join(f"median({c}) as {c}_base" for c in RATES)
+_BASE = ", ".join(f"{fr(f'median({c})', 9)} as {c}_base" for c in RATES)
 _RES = _FINAL + ",\n" + _SIGMA + f""",
 bd as (select sn.*, yhat-1.2815515655446004::double*sigma as lo, yhat+1.2815515655446004::double*sigma as hi
   from sn left join sg using (driver, unique_id)),

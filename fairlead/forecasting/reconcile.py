@@ -41,9 +41,9 @@ def standardised(residuals: DataFrame) -> DataFrame:
     df = stats.join(months, "driver")
     df = df.withColumn("_known", F.map_from_entries("pts"))
     df = df.withColumn("e", F.expr("transform(months, d -> coalesce(try_element_at(_known, d) - m, 0D))"))
-    df = df.withColumns({"T": F.size("months"), "v": F.expr("aggregate(e, 0D, (s, x) -> s + x * x) / (size(months) - 1)")})
+    df = df.withColumns({"n_months": F.size("months"), "v": F.expr("aggregate(e, 0D, (s, x) -> s + x * x) / (size(months) - 1)")})
     x = F.expr("transform(e, u -> if(v > 0, u / sqrt(v), 0D))")
-    return df.select("driver", "unique_id", "months", "T", "e", "v", x.alias("x"))
+    return df.select("driver", "unique_id", "months", "n_months", "e", "v", x.alias("x"))
 
 
 def shrinkage(nodes: DataFrame) -> DataFrame:
@@ -51,16 +51,16 @@ def shrinkage(nodes: DataFrame) -> DataFrame:
 
     The sums over all pairs of nodes come from sums over pairs of months, so no pair of nodes is formed.
     """
-    pairs = nodes.select("driver", "T", F.posexplode("x").alias("t", "a"), "x")
-    pairs = pairs.select("driver", "T", "t", "a", F.posexplode("x").alias("s", "b")).where(F.col("s") >= F.col("t"))
-    gram = pairs.groupBy("driver", "T", "t", "s").agg(
+    pairs = nodes.select("driver", "n_months", F.posexplode("x").alias("t", "a"), "x")
+    pairs = pairs.select("driver", "n_months", "t", "a", F.posexplode("x").alias("s", "b")).where(F.col("s") >= F.col("t"))
+    gram = pairs.groupBy("driver", "n_months", "t", "s").agg(
         F.sum(F.col("a") * F.col("b")).alias("g"),
         F.sum(F.when(F.col("s") == F.col("t"), F.pow("a", 4)).otherwise(0.0)).alias("q"))
-    sums = gram.groupBy("driver", "T").agg(
+    sums = gram.groupBy("driver", "n_months").agg(
         F.sum(F.when(F.col("s") == F.col("t"), 1.0).otherwise(2.0) * F.col("g") * F.col("g")).alias("gg"),
         F.sum(F.when(F.col("s") == F.col("t"), F.col("g") * F.col("g") - F.col("q")).otherwise(0.0)).alias("ww"))
     live = nodes.groupBy("driver").agg(F.sum(F.when(F.col("v") > 0, 1).otherwise(0)).alias("n"))
-    T = F.col("T").cast("double")
+    T = F.col("n_months").cast("double")
     squares = F.col("gg") / ((T - 1) * (T - 1)) - F.col("n")
     variance = T / F.pow(T - 1, 3) * (F.col("ww") - (T - 1) * (T - 1) / T * squares)
     lam = F.when(squares <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), variance / squares)))
@@ -94,7 +94,7 @@ def _constraint_parts(forecasts, nodes, summing):
 def _solve_direct(d, u, dd, lam, T):
     """Solve the square system over the upper nodes on the driver; it holds model values, not data."""
     pd_d, pd_u, pd_dd = d.toPandas(), u.toPandas(), dd.toPandas()
-    lam, T = lam.toPandas().set_index("driver")["lam"], T.toPandas().set_index("driver")["T"]
+    lam, T = lam.toPandas().set_index("driver")["lam"], T.toPandas().set_index("driver")["n_months"]
     rows = []
     for driver, part in pd_u.groupby("driver"):
         g = part.pivot(index="node", columns="h", values="u")
@@ -115,7 +115,7 @@ def _apply_system(v, d, dd, lam, T):
     q = v.join(d, ["driver", "node"]).groupBy("driver", "h", "t").agg(F.sum(F.col("x") * F.col("d")).alias("q"))
     full = d.join(q, ["driver", "t"]).groupBy("driver", "node", "h").agg(F.sum(F.col("d") * F.col("q")).alias("c"))
     full = full.join(T, "driver").join(lam, "driver").select(
-        "driver", "node", "h", (F.col("c") / (F.col("T") - 1) * (1 - F.col("lam"))).alias("x"))
+        "driver", "node", "h", (F.col("c") / (F.col("n_months") - 1) * (1 - F.col("lam"))).alias("x"))
     diag = dd.join(v.withColumnRenamed("node", "b"), ["driver", "b"]).groupBy("driver", F.col("a").alias("node"), "h").agg(
         F.sum(F.col("w") * F.col("x")).alias("c"))
     diag = diag.join(lam, "driver").select("driver", "node", "h", (F.col("c") * F.col("lam")).alias("x"))
@@ -157,7 +157,7 @@ def reconcile(forecasts: DataFrame, residuals: DataFrame, summing: DataFrame,
     nodes = settle(standardised(residuals), "nodes")
     forecasts = settle(forecasts.select("driver", "unique_id", "h", "ds", "yhat"), "base")
     lam = settle(shrinkage(nodes), "lambda")
-    T = nodes.select("driver", "T").distinct()
+    T = nodes.select("driver", "n_months").distinct()
     d, u, dd = (settle(x, "system") for x in _constraint_parts(forecasts, nodes, summing))
     if u.groupBy("driver").agg(F.countDistinct("node").alias("k")).agg(F.max("k")).first()[0] <= direct_limit:
         g = forecasts.sparkSession.createDataFrame(
@@ -169,14 +169,14 @@ def reconcile(forecasts: DataFrame, residuals: DataFrame, summing: DataFrame,
     q = d.join(g, ["driver", "node"]).groupBy("driver", "t", "h").agg(F.sum(F.col("d") * F.col("g")).alias("q"))
     upper = summing.where(F.col("node") != F.col("bottom_id"))
     bottoms = nodes.join(upper.select("bottom_id").distinct(), F.col("unique_id") == F.col("bottom_id"), "left_semi")
-    e_long = bottoms.select("driver", "unique_id", "T", F.posexplode("e").alias("t", "e"))
-    cov = e_long.join(q, ["driver", "t"]).groupBy("driver", "unique_id", "h", "T").agg(
+    e_long = bottoms.select("driver", "unique_id", "n_months", F.posexplode("e").alias("t", "e"))
+    cov = e_long.join(q, ["driver", "t"]).groupBy("driver", "unique_id", "h", "n_months").agg(
         F.sum(F.col("e") * F.col("q")).alias("c"))
     up = upper.join(g, "node").groupBy("driver", F.col("bottom_id").alias("unique_id"), "h").agg(F.sum("g").alias("up"))
     move = (
         cov.join(up, ["driver", "unique_id", "h"]).join(nodes.select("driver", "unique_id", "v"), ["driver", "unique_id"])
         .join(lam, "driver").select("driver", "unique_id", "h", (
-            (1 - F.col("lam")) * F.col("c") / (F.col("T") - 1) - F.col("lam") * F.col("v") * F.col("up")).alias("move"))
+            (1 - F.col("lam")) * F.col("c") / (F.col("n_months") - 1) - F.col("lam") * F.col("v") * F.col("up")).alias("move"))
     )
     bottom = forecasts.join(move, ["driver", "unique_id", "h"]).select(
         "driver", "unique_id", "ds", (F.col("yhat") - F.col("move")).alias("yhat"))

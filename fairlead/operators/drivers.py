@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.constants import DIMS, DRIVER_SPEC, OVERRIDABLE, PERCENTILES, RATES
-from fairlead.functions.scalar import month_start, safe_div
+from fairlead.functions.scalar import floor_round, month_start, safe_div
 from fairlead.operators.quantiles import quantiles_of_counts, value_counts
 
 
@@ -53,8 +53,12 @@ def driver_distributions(monthly: DataFrame, dims: list[str] = DIMS, spec: dict
 
 
 def driver_medians(monthly: DataFrame, dims: list[str] = DIMS) -> DataFrame:
-    """Median rates over the months of each series."""
-    return monthly.groupBy(*dims).agg(*[F.median(rate).alias(f"{rate}_base") for rate in RATES])
+    """Median rates over the months of each series.
+
+    The monthly means carry the order of summation in their last bits; nine decimals drop it, so that
+    amounts rounded to whole units later do not depend on how the history was partitioned.
+    """
+    return monthly.groupBy(*dims).agg(*[floor_round(F.median(rate), 9).alias(f"{rate}_base") for rate in RATES])
 
 
 def driver_stats(history: DataFrame, drivers: list[str] = OVERRIDABLE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.constants import DIMS, FALLBACK_BANDS, HORIZON, RATES
@@ -30,7 +30,7 @@ def with_bands(forecasts: DataFrame, bands: dict[str, tuple[float, float]] = FAL
 
 
 def assemble_forecast(forecasts: DataFrame, medians: DataFrame, run_id: str, as_of: str, horizon: int = HORIZON,
-                      run_ts: Column | None = None) -> DataFrame:
+                      run_ts: str | None = None) -> DataFrame:
     """Result rows of the bottom series: (driver, unique_id, ds, yhat, model, [lo, hi]) to one row per
     series and month, inside the horizon counted from ``as_of``, with the median rates beside them.
 
@@ -47,7 +47,7 @@ def assemble_forecast(forecasts: DataFrame, medians: DataFrame, run_id: str, as_
     rows = kept.groupBy("unique_id", "ds", "horizon_month").agg(*cells).where(F.col("model_lf").isNotNull())
     rows = split_key(rows).join(medians, DIMS, "left")
     rows = rows.withColumns({
-        "run_id": F.lit(run_id), "run_ts": run_ts if run_ts is not None else F.localtimestamp(),
+        "run_id": F.lit(run_id), "run_ts": F.lit(run_ts).cast("timestamp_ntz") if run_ts else F.localtimestamp(),
         "forecast_date": F.col("ds")})
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULTS.fields])
 
@@ -60,7 +60,7 @@ def month_before(as_of: str, months: int) -> str:
 
 def run_forecast(monthly: DataFrame, run_id: str, as_of: str, horizon: int = HORIZON,
                  models: dict[str, Model] = MODELS, method: str = "mint_shrink",
-                 cutoff_months: tuple[int, ...] = (13, 7), run_ts: Column | None = None) -> DataFrame:
+                 cutoff_months: tuple[int, ...] = (13, 7), run_ts: str | None = None) -> DataFrame:
     """One forecast run: bottom series, all levels, all models, model choice, reconciliation, result rows.
 
     Gaps are filled at the bottom before adding up, so that sums hold in every month. The model of
