@@ -196,7 +196,7 @@ def q_label(spark, sf_dir):
 
 @query("montecarlo_histogram", with_ctes("fcst", f"""
 select bin, {r('lo+(hi-lo)/50*bin', 4)} as from_m, {r('lo+(hi-lo)/50*(bin+1)', 4)} as to_m, coalesce(n, 0) as n
-from (select cast(i as bigint) as bin from range(50) g(i)), (select min(ntr_m) as lo, max(ntr_m) as hi from sims)
+from (select cast(i as bigint) as bin, lo, hi from range(50) g(i), (select min(ntr_m) as lo, max(ntr_m) as hi from sims))
 left join (select cast(least(floor((ntr_m-l)/(h-l)*50), 49) as bigint) as bin, count(*) as n
   from sims, (select min(ntr_m) as l, max(ntr_m) as h from sims) group by 1) using (bin)""", _MC))
 def q_mc_histogram(spark, sf_dir):

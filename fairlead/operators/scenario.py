@@ -63,7 +63,7 @@ def net_of_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
     drivers); rows stay where they are and only one sum per set leaves a task.
     """
     packed = sets.select(F.collect_list(F.struct("set_id", *OVERRIDABLE))).scalar()
-    pairs = rows.withColumn("_sets", packed).select("*", F.inline("_sets")).drop("_sets")
+    pairs = rows.select("*", F.inline(packed))
     c = F.col
     pax = truncate(c("lower_berth_capacity") * c("load_factor"))
     kept = pax * c("gross_fare_per_diem") * c("itinerary_length") * (1.0 - c("discount_rate"))
@@ -222,7 +222,8 @@ def simulation_histogram(draws: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFr
     placed = draws.withColumn("e", ends.select(F.struct("*")).scalar()).select(
         F.least(place, F.lit(bins - 1)).cast("bigint").alias("bin"))
     counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
+    grid = ends.select("lo", "hi", F.explode(numbers).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counts, "bin", "left").select(
         "bin", (F.col("lo") + width * F.col("bin")).alias("from_m"),

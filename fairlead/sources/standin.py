@@ -26,17 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the lines of an order, in decimals so that their order does not matter."""
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    """Totals of the lines of an order, added up in whole cents and hundredths.
+
+    Whole numbers give the same total in any order of summation and stay in generated code.
+    """
+    hundredths = lambda c: F.floor(F.col(c) * 100.0 + 0.5)
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("n_lines"),
             F.sum("l_quantity").alias("qty"),
-            F.sum(price).cast("double").alias("gross"),
-            F.sum(price * F.col("l_discount").cast("decimal(4,2)")).cast("double").alias("disc"),
-            F.sum(F.col("l_tax").cast("decimal(4,2)")).cast("double").alias("tax_sum"),
+            (F.sum(hundredths("l_extendedprice")) / 100.0).alias("gross"),
+            (F.sum(hundredths("l_extendedprice") * hundredths("l_discount")) / 10000.0).alias("disc"),
+            (F.sum(hundredths("l_tax")) / 100.0).alias("tax_sum"),
         )
     )
 
