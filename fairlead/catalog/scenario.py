@@ -10,9 +10,10 @@ from fairlead.catalog.registry import query
 from fairlead.catalog.sqltext import fr, r, rc, with_ctes
 from fairlead.constants import ALL_DRIVERS, AMOUNTS, OVERRIDABLE, OVERRIDE_COLUMNS
 from fairlead.operators import scenario as X
+from fairlead.operators.baseline import baseline_forecast
 from fairlead.operators.drivers import driver_stats
 from fairlead.session import settle
-from fairlead.sources.standin import AS_OF, history, scenarios
+from fairlead.sources.standin import AS_OF, history_and_future, scenarios
 
 # The analyst's edits used in the queries: assumption = baseline mean times factor, rounded.
 EDITS = {"load_factor": 1.03, "gross_fare_per_diem": 1.05, "discount_rate": 0.9}
@@ -20,10 +21,10 @@ EDITS = {"load_factor": 1.03, "gross_fare_per_diem": 1.05, "discount_rate": 0.9}
 
 def setup(spark, sf_dir, edits=EDITS):
     """Profile of the schedule and the input table; both small, each computed once."""
-    fc = forecast(spark, sf_dir)
+    hist, fut = history_and_future(spark, sf_dir)
+    fc = baseline_forecast(hist, fut)
     profile = settle(X.schedule_profile(fc), "profile")
-    stats = settle(driver_stats(history(spark, sf_dir)), "stats")
-    return fc, profile, X.driver_inputs(stats, profile, edits)
+    return fc, profile, settle(X.driver_inputs(driver_stats(hist), profile, edits), "inputs")
 
 
 _SPEC = """(values ('load_factor', 'Load Factor', '×', 1, 0.80::double, 1.20::double, 1000, 1),
@@ -143,7 +144,7 @@ _ALONE = " union all ".join(
 @query("attribution_isolated", _inputs(f"select driver, {rc('impact_m')} from ({_ALONE})"))
 def q_attribution_isolated(spark, sf_dir):
     fc, _, inputs = setup(spark, sf_dir)
-    return shown(X.isolated_attribution(fc, settle(inputs, "inputs")))
+    return shown(X.isolated_attribution(fc, inputs))
 
 
 def _u(k):

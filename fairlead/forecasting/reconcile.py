@@ -7,6 +7,9 @@ U' V U is the covariance of the errors' own incoherence, and J W U g the covaria
 with one combined series. Work grows with nodes x months x horizon; only the system over the upper nodes
 is square. Up to ``DIRECT_LIMIT`` upper nodes it is solved on the driver, beyond that by conjugate
 gradients whose vectors stay distributed.
+
+Tables with one row per driver, or per driver, month and step, are bounded by the calendar and broadcast;
+tables that grow with the series never are by hint.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def standardised(residuals: DataFrame) -> DataFrame:
     stats = residuals.groupBy("driver", "unique_id").agg(
         F.avg("e").alias("m"), F.sort_array(F.collect_list(F.struct("ds", "e"))).alias("pts"))
     months = residuals.groupBy("driver").agg(F.sort_array(F.collect_set("ds")).alias("months"))
-    df = stats.join(months, "driver")
+    df = stats.join(F.broadcast(months), "driver")
     df = df.withColumn("_known", F.map_from_entries("pts"))
     df = df.withColumn("e", F.expr("transform(months, d -> coalesce(try_element_at(_known, d) - m, 0D))"))
     df = df.withColumns({"n_months": F.size("months"), "v": F.expr("aggregate(e, 0D, (s, x) -> s + x * x) / (size(months) - 1)")})
@@ -113,12 +116,12 @@ def _solve_direct(d, u, dd, lam, T):
 def _apply_system(v, d, dd, lam, T):
     """(U' W U) v for a distributed vector v of (driver, node, h, x)."""
     q = v.join(d, ["driver", "node"]).groupBy("driver", "h", "t").agg(F.sum(F.col("x") * F.col("d")).alias("q"))
-    full = d.join(q, ["driver", "t"]).groupBy("driver", "node", "h").agg(F.sum(F.col("d") * F.col("q")).alias("c"))
-    full = full.join(T, "driver").join(lam, "driver").select(
+    full = d.join(F.broadcast(q), ["driver", "t"]).groupBy("driver", "node", "h").agg(F.sum(F.col("d") * F.col("q")).alias("c"))
+    full = full.join(F.broadcast(T), "driver").join(F.broadcast(lam), "driver").select(
         "driver", "node", "h", (F.col("c") / (F.col("n_months") - 1) * (1 - F.col("lam"))).alias("x"))
     diag = dd.join(v.withColumnRenamed("node", "b"), ["driver", "b"]).groupBy("driver", F.col("a").alias("node"), "h").agg(
         F.sum(F.col("w") * F.col("x")).alias("c"))
-    diag = diag.join(lam, "driver").select("driver", "node", "h", (F.col("c") * F.col("lam")).alias("x"))
+    diag = diag.join(F.broadcast(lam), "driver").select("driver", "node", "h", (F.col("c") * F.col("lam")).alias("x"))
     return full.unionByName(diag).groupBy("driver", "node", "h").agg(F.sum("x").alias("x"))
 
 
@@ -133,14 +136,14 @@ def _solve_distributed(d, u, dd, lam, T, tolerance=1e-10, max_steps=500):
         step = both.groupBy("driver", "h").agg(
             F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
         alpha = F.coalesce(F.try_divide("rr", "pap"), F.lit(0.0))
-        moved = both.join(step, ["driver", "h"]).select(
+        moved = both.join(F.broadcast(step), ["driver", "h"]).select(
             *key, (F.col("g") + alpha * F.col("p")).alias("g"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "rr")
         moved = settle(moved, "cg")
         after = moved.groupBy("driver", "h").agg(F.sum(F.col("r") * F.col("r")).alias("rr1"))
         beta = F.coalesce(F.try_divide("rr1", "rr"), F.lit(0.0))
-        state = settle(moved.join(after, ["driver", "h"]).select(
+        state = settle(moved.join(F.broadcast(after), ["driver", "h"]).select(
             *key, "g", "r", (F.col("r") + beta * F.col("p")).alias("p")), "cg")
-        left, first = (moved.join(after, ["driver", "h"]).agg(F.max(F.sqrt("rr1")), F.max(F.sqrt("rr"))).first())
+        left, first = (moved.join(F.broadcast(after), ["driver", "h"]).agg(F.max(F.sqrt("rr1")), F.max(F.sqrt("rr"))).first())
         start = start or first or 1.0
         if left is None or left <= tolerance * start:
             break
@@ -170,12 +173,12 @@ def reconcile(forecasts: DataFrame, residuals: DataFrame, summing: DataFrame,
     upper = summing.where(F.col("node") != F.col("bottom_id"))
     bottoms = nodes.join(upper.select("bottom_id").distinct(), F.col("unique_id") == F.col("bottom_id"), "left_semi")
     e_long = bottoms.select("driver", "unique_id", "n_months", F.posexplode("e").alias("t", "e"))
-    cov = e_long.join(q, ["driver", "t"]).groupBy("driver", "unique_id", "h", "n_months").agg(
+    cov = e_long.join(F.broadcast(q), ["driver", "t"]).groupBy("driver", "unique_id", "h", "n_months").agg(
         F.sum(F.col("e") * F.col("q")).alias("c"))
     up = upper.join(g, "node").groupBy("driver", F.col("bottom_id").alias("unique_id"), "h").agg(F.sum("g").alias("up"))
     move = (
         cov.join(up, ["driver", "unique_id", "h"]).join(nodes.select("driver", "unique_id", "v"), ["driver", "unique_id"])
-        .join(lam, "driver").select("driver", "unique_id", "h", (
+        .join(F.broadcast(lam), "driver").select("driver", "unique_id", "h", (
             (1 - F.col("lam")) * F.col("c") / (F.col("n_months") - 1) - F.col("lam") * F.col("v") * F.col("up")).alias("move"))
     )
     bottom = forecasts.join(move, ["driver", "unique_id", "h"]).select(

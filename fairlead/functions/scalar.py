@@ -25,13 +25,20 @@ def floor_round(x: Column | str, decimals: int, half: float = 0.5) -> Column:
     return whole / F.lit(scale)
 
 
+def floor_round_sql(x: str, decimals: int, half: float = 0.5) -> str:
+    """``floor_round`` as SQL text, for wide projections that are written as text."""
+    scale = f"{float(10**decimals)!r}D"
+    y = f"(({x}) * {scale} + {half!r}D)"
+    return f"if(abs({y}) < {_EXACT_INTEGERS!r}D, cast(floor({y}) as double), {y}) / {scale}"
+
+
 def round_doubles(df: DataFrame, decimals: int = 6, special: dict[str, int] | None = None,
                   half: float = 0.5) -> DataFrame:
     """Round every double column, so that the order of summation does not show."""
     special = special or {}
-    return df.select(*[
-        floor_round(f.name, special.get(f.name, decimals), half).alias(f.name)
-        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+    return df.selectExpr(*[
+        f"{floor_round_sql(f'`{f.name}`', special.get(f.name, decimals), half)} as `{f.name}`"
+        if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`"
         for f in df.schema.fields
     ])
 

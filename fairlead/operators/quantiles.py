@@ -9,8 +9,6 @@ Only sorts that can spill are used, and no step holds a group as a whole.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +17,8 @@ from fairlead.session import settle
 
 def value_counts(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """(keys, measure, value, n) for the non-null values; partially aggregated before the shuffle."""
-    pairs = F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
-    long = df.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull())
+    pairs = ", ".join(f"struct('{m}' as measure, cast({m} as double) as value)" for m in measures)
+    long = df.selectExpr(*keys, f"inline(array({pairs}))").where("value is not null")
     return long.groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -31,12 +28,27 @@ def coarse_bin(value: Column) -> Column:
     return F.floor(value / step) * step
 
 
+def settled_counts(counts: DataFrame) -> DataFrame:
+    """Counts with their bins, written once: several lookups follow, the rows behind are read once."""
+    return settle(counts.withColumn("bin", coarse_bin(F.col("value"))), "counts")
+
+
+def moments_of_counts(counts: DataFrame) -> DataFrame:
+    """(measure, mean, std): mean and sample deviation, the deviation around the mean in a second look."""
+    means = counts.groupBy("measure").agg(
+        F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    off = F.col("value") - F.col("mean")
+    return counts.join(means, "measure").groupBy("measure", "mean").agg(
+        F.sqrt(F.try_divide(F.sum(F.col("n") * off * off), F.max("total") - 1)).alias("std"))
+
+
 def quantiles_of_counts(counts: DataFrame, keys: list[str], probs: dict[str, float],
                         measures: list[str], name=lambda measure, label: f"{measure}_{label}") -> DataFrame:
-    """One row per key with a column for each measure and probability (linear interpolation)."""
+    """One row per key with a column for each measure and probability (linear interpolation).
+
+    ``counts`` come from ``settled_counts``.
+    """
     group = [*keys, "measure"]
-    # Both lookups read the counts; written once, the rows behind them are read once.
-    counts = settle(counts.withColumn("bin", coarse_bin(F.col("value"))), "counts")
     whole = Window.partitionBy(*group)
     bins = (
         counts.groupBy(*group, "bin").agg(F.sum("n").alias("bin_n"))
@@ -46,35 +58,33 @@ def quantiles_of_counts(counts: DataFrame, keys: list[str], probs: dict[str, flo
     # Both neighbours of the position (total - 1) * p, with their weights; at most 2 per probability.
     wanted = []
     for label, p in probs.items():
-        pos = (F.col("total") - 1) * F.lit(float(p))
-        low = F.floor(pos)
-        share = pos - low
-        for rank, weight in ((low, 1.0 - share), (low + 1, share)):
-            wanted.append(F.struct(F.lit(label).alias("label"), rank.alias("rank"), weight.alias("weight")))
-    holds = lambda r: (
-        (r["weight"] > 0) & (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("bin_n")))
+        pos = f"(total - 1) * {float(p)!r}D"
+        wanted += [
+            f"struct('{label}' as label, floor({pos}) as rank, 1 - ({pos} - floor({pos})) as weight)",
+            f"struct('{label}' as label, floor({pos}) + 1 as rank, {pos} - floor({pos}) as weight)"]
+    held = F.expr(f"filter(array({', '.join(wanted)}), "
+                  "w -> w.weight > 0 and w.rank >= before and w.rank < before + bin_n)")
     bins = (
-        bins.withColumn("wanted", F.filter(F.array(*wanted), holds)).where(F.size("wanted") > 0)
-        .select(*[F.col(k).alias(f"_{k}") for k in [*group, "bin"]], "before", "wanted")
+        bins.withColumn("wanted", held).where("size(wanted) > 0")
+        .selectExpr(*[f"{k} as _{k}" for k in [*group, "bin"]], "before", "wanted")
     )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*group, "bin"]])
+    same = F.expr(" and ".join(f"{k} <=> _{k}" for k in [*group, "bin"]))
     up_to = F.sum("n").over(Window.partitionBy(*group, "bin").orderBy("value")) + F.col("before")
     picked = (
         counts.join(bins, same)
         .withColumn("up_to", up_to)
         .select(*group, "value", "n", "up_to", F.inline("wanted"))
-        .where((F.col("rank") < F.col("up_to")) & (F.col("rank") >= F.col("up_to") - F.col("n")))
+        .where("rank < up_to and rank >= up_to - n")
     )
     cells = [
-        F.sum(F.when((F.col("measure") == m) & (F.col("label") == label), F.col("weight") * F.col("value")))
-        .alias(name(m, label))
+        F.expr(f"sum(if(measure = '{m}' and label = '{label}', weight * value, null)) as {name(m, label)}")
         for m in measures for label in probs
     ]
     return picked.groupBy(*keys).agg(*cells)
 
 
 def group_quantiles(df: DataFrame, keys: list[str], measures: list[str], probs: dict[str, float], **kw) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, keys, measures), keys, probs, measures, **kw)
+    return quantiles_of_counts(settled_counts(value_counts(df, keys, measures)), keys, probs, measures, **kw)
 
 
 def roll_up_counts(counts: DataFrame, key_sets: list[list[str]]) -> DataFrame:
@@ -85,12 +95,10 @@ def roll_up_counts(counts: DataFrame, key_sets: list[list[str]]) -> DataFrame:
     keys = list(dict.fromkeys(k for ks in key_sets for k in ks))
     if len(key_sets) == 1:
         return counts.select(F.lit(0).alias("level"), *keys, "measure", "value", "n")
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("level"), *[
-            (F.col(k) if k in ks else F.lit(None).cast(counts.schema[k].dataType)).alias(k) for k in keys])
-        for i, ks in enumerate(key_sets)
-    ])
+    kept = lambda k, ks: f"{k} as {k}" if k in ks else f"cast(null as {counts.schema[k].dataType.simpleString()}) as {k}"
+    rows = ", ".join(
+        f"struct({', '.join([f'{i} as level', *[kept(k, ks) for k in keys]])})" for i, ks in enumerate(key_sets))
     return (
-        counts.select(F.inline(rows), "measure", "value", "n")
+        counts.selectExpr(f"inline(array({rows}))", "measure", "value", "n")
         .groupBy("level", *keys, "measure", "value").agg(F.sum("n").alias("n"))
     )

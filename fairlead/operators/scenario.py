@@ -9,7 +9,7 @@ every choice of overridden drivers in the same single pass.
 
 from __future__ import annotations
 
-from itertools import chain, product
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +23,14 @@ from fairlead.operators.waterfall import waterfall
 from fairlead.session import settle
 
 
-def _spec(field: int, driver: Column) -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(d[0]), F.lit(d[field])) for d in DRIVER_SPEC))[driver]
+def _by_driver(values: dict[str, str]) -> str:
+    """SQL text choosing a value by the column ``driver``."""
+    return "case driver " + " ".join(f"when '{d}' then {v}" for d, v in values.items()) + " end"
+
+
+def _spec(field: int) -> str:
+    text = lambda v: f"'{v}'" if isinstance(v, str) else f"{float(v)!r}D"
+    return _by_driver({d[0]: text(d[field]) for d in DRIVER_SPEC})
 
 
 # profile of the schedule ------------------------------------------------------
@@ -76,33 +82,25 @@ def net_of_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 # assumptions --------------------------------------------------------------------
 
-def _to_decimals(x: Column, driver: Column) -> Column:
-    scale = F.pow(F.lit(10.0), _spec(7, driver))
-    return F.floor(x * scale + 0.5) / scale
-
-
 def driver_inputs(stats: DataFrame, profile: DataFrame, edits: dict[str, float] | None = None) -> DataFrame:
     """Input table: percentiles, baseline mean and assumption of each driver, scaled and rounded.
 
     ``edits`` multiply the baseline of a driver before rounding. ``value`` is the assumption in
     driver units, ``in_bounds`` tells whether it keeps to the bounds of the driver.
     """
-    d = F.col("driver")
-    base = baseline_figures(profile).select(F.struct("*")).scalar()
-    means = F.create_map(*chain.from_iterable((F.lit(k), F.col(f"_b.{k}")) for k in OVERRIDABLE))[d]
-    factors = F.create_map(*chain.from_iterable(
-        (F.lit(k), F.lit(float((edits or {}).get(k, 1.0)))) for k in OVERRIDABLE))[d]
-    df = stats.withColumn("_b", base).withColumns({"_scale": _spec(4, d), "baseline_mean": means})
-    scaled = lambda x: _to_decimals(F.col(x) * F.col("_scale"), d)
-    assumption = _to_decimals(F.col("baseline_mean") * F.col("_scale") * factors, d)
-    df = df.select(
-        "driver", _spec(2, d).alias("label"), _spec(3, d).alias("unit"), F.col("_scale").cast("bigint").alias("scale"),
-        scaled("p50").alias("hist_p50"), scaled("p10").alias("hist_p10"), scaled("p90").alias("hist_p90"),
-        scaled("baseline_mean").alias("baseline"), assumption.alias("assumption"),
-        (assumption / F.col("_scale")).alias("value"), "baseline_mean",
-        *[(F.col(p) * F.col("_scale")).alias(p) for p in ("p10", "p25", "p50", "p75", "p90")], "std",
-    )
-    return df.withColumn("in_bounds", F.col("value").between(_spec(5, d), _spec(6, d)))
+    factors = {d: f"{float((edits or {}).get(d, 1.0))!r}D" for d in OVERRIDABLE}
+    df = stats.withColumn("_b", baseline_figures(profile).select(F.struct("*")).scalar()).selectExpr(
+        "*", f"{_spec(4)} as _scale", f"{_by_driver({d: f'_b.{d}' for d in OVERRIDABLE})} as baseline_mean",
+        f"power(10D, {_spec(7)}) as _dec", f"{_by_driver(factors)} as _edit")
+    rounded = lambda x: f"floor({x} * _scale * _dec + 0.5D) / _dec"
+    df = df.withColumn("assumption", F.expr("floor(baseline_mean * _scale * _edit * _dec + 0.5D) / _dec"))
+    df = df.withColumn("value", F.expr("assumption / _scale"))
+    return df.selectExpr(
+        "driver", f"{_spec(2)} as label", f"{_spec(3)} as unit", "cast(_scale as bigint) as scale",
+        f"{rounded('p50')} as hist_p50", f"{rounded('p10')} as hist_p10", f"{rounded('p90')} as hist_p90",
+        f"{rounded('baseline_mean')} as baseline", "assumption", "value", "baseline_mean",
+        *[f"{p} * _scale as {p}" for p in ("p10", "p25", "p50", "p75", "p90")], "std",
+        f"value between {_spec(5)} and {_spec(6)} as in_bounds")
 
 
 def grade(x: Column, p10: Column, p25: Column, p75: Column, p90: Column) -> Column:
@@ -160,21 +158,21 @@ def attribution(profile: DataFrame, inputs: DataFrame) -> DataFrame:
     impact = F.col("net") / 1e6 - base
     return (
         net_of_sets(profile, sets)
-        .select(F.col("set_id").alias("driver"), _spec(2, F.col("set_id")).alias("label"), impact.alias("impact_m"))
+        .withColumnRenamed("set_id", "driver").select("driver", F.expr(_spec(2)).alias("label"), impact.alias("impact_m"))
         .where(F.abs("impact_m") > MIN_IMPACT_M)
     )
 
 
 def attribution_steps(profile: DataFrame, inputs: DataFrame) -> DataFrame:
     """Baseline, impacts and scenario as ordered steps."""
-    order = F.create_map(*chain.from_iterable((F.lit(d), F.lit(i)) for i, d in enumerate(OVERRIDABLE, 1)))
+    order = F.expr(_by_driver({d: str(i) for i, d in enumerate(OVERRIDABLE, 1)}))
     row = lambda df, step, label, measure, value: df.select(
         step.cast("bigint").alias("step"), label.alias("label"), F.lit(measure).alias("measure"), value.alias("value_m"))
     result = scenario_result(profile, inputs)
     impacts = attribution(profile, inputs)
     return (
         row(result, F.lit(0), F.lit("Baseline"), "absolute", F.col("baseline_ntr_m"))
-        .unionByName(row(impacts, order[F.col("driver")], F.col("label"), "relative", F.col("impact_m")))
+        .unionByName(row(impacts, order, F.col("label"), "relative", F.col("impact_m")))
         .unionByName(row(result, F.lit(99), F.lit("Your Scenario"), "total", F.col("scenario_ntr_m")))
     )
 

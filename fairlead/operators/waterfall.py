@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.constants import AMOUNTS, OCCUPANCY_CAP, WATERFALL_STEPS
-from fairlead.functions.scalar import floor_round, truncate
+from fairlead.functions.scalar import floor_round_sql
 
 
-def passengers(mode: str, capacity: Column, load_factor: Column) -> Column:
+def passengers(mode: str) -> str:
     """Passengers of a sailing: whole persons, capped whole persons, or the exact product."""
-    if mode == "trunc":
-        return truncate(capacity * load_factor)
-    if mode == "capped":
-        return F.least(truncate(capacity * load_factor), truncate(capacity * F.lit(OCCUPANCY_CAP)))
-    if mode == "exact":
-        return capacity * load_factor
-    raise ValueError(f"unknown passenger mode {mode}")
+    exact = "lower_berth_capacity * load_factor"
+    return {
+        "trunc": f"cast({exact} as bigint)",
+        "capped": f"least(cast({exact} as bigint), cast(lower_berth_capacity * {OCCUPANCY_CAP!r}D as bigint))",
+        "exact": exact,
+    }[mode]
 
 
 def waterfall(
@@ -38,53 +37,37 @@ def waterfall(
     """
     if overrides:
         df = df.withColumns({k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in overrides.items()})
-    c = F.col
     if pax_mode == "given":
-        df = df.withColumns({"_pax": c(pax_column).cast("double"), "_gross": c("gross_ticket_revenue")})
+        pax, gross = f"cast({pax_column} as double)", "gross_ticket_revenue"
     else:
-        df = df.withColumn("_pax", passengers(pax_mode, c("lower_berth_capacity"), c("load_factor")))
-        df = df.withColumn("_gross", c("_pax") * c("gross_fare_per_diem") * c("itinerary_length"))
-    df = df.withColumn("_disc", c("_gross") * c("discount_rate"))
-    df = df.withColumns({
-        "_promo": c("_pax") * c("promo_cost_per_pax"),
-        "_comm": (c("_gross") - c("_disc")) * c("commission_rate") * (1.0 - c("direct_booking_pct")),
-        "_air": c("_pax") * c("air_inclusive_pct") * c("air_cost_per_pax"),
-        "_tax": c("_pax") * c("taxes_fees_per_pax"),
-    })
-    net = c("_gross") - c("_disc") - c("_promo") - c("_comm")
-    out = {}
+        pax, gross = passengers(pax_mode), "_pax * gross_fare_per_diem * itinerary_length"
+    chain = [
+        {"_pax": pax}, {"_gross": gross},
+        {"_disc": "_gross * discount_rate", "_promo": "_pax * promo_cost_per_pax",
+         "_air": "_pax * air_inclusive_pct * air_cost_per_pax", "_tax": "_pax * taxes_fees_per_pax"},
+        {"_comm": "(_gross - _disc) * commission_rate * (1.0D - direct_booking_pct)"},
+    ]
+    net, out = "_gross - _disc - _promo - _comm", {}
     if extended:
-        df = df.withColumns({
-            "_extra": c("_comm") * c("commission_override_pct"),
-            "_kick": c("_pax") / 2.0 * c("kicker_per_cabin"),
-        })
-        net = net - c("_extra") - c("_kick")
-        out |= {"commission_override": c("_extra"), "kicker_total": c("_kick")}
+        chain.append({"_extra": "_comm * commission_override_pct", "_kick": "_pax / 2.0D * kicker_per_cabin"})
+        net += " - _extra - _kick"
+        out |= {"commission_override": "_extra", "kicker_total": "_kick"}
+    for step in chain:
+        df = df.withColumns({k: F.expr(v) for k, v in step.items()})
     out |= {
-        "gross_ticket_revenue": c("_gross"),
-        "discount_amount": c("_disc"),
-        "promo_cost_total": c("_promo"),
-        "ta_commission": c("_comm"),
-        "air_cost_total": c("_air"),
-        "taxes_total": c("_tax"),
-        "net_ticket_revenue": net - c("_air") - c("_tax"),
+        "gross_ticket_revenue": "_gross", "discount_amount": "_disc", "promo_cost_total": "_promo",
+        "ta_commission": "_comm", "air_cost_total": "_air", "taxes_total": "_tax",
+        "net_ticket_revenue": f"{net} - _air - _tax",
     }
     if decimals is not None:
-        out = {k: floor_round(v, decimals) for k, v in out.items()}
+        out = {k: floor_round_sql(v, decimals) for k, v in out.items()}
     if pax_mode != "given":
-        pax = c("_pax")
-        out[pax_column] = pax if pax_mode != "exact" or decimals is None else floor_round(pax, decimals)
+        out[pax_column] = floor_round_sql("_pax", decimals) if pax_mode == "exact" and decimals is not None else "_pax"
+    out = {k: F.expr(v) for k, v in out.items()}
     hidden = ["_pax", "_gross", "_disc", "_promo", "_comm", "_air", "_tax", "_extra", "_kick"]
     return df.withColumns(out).drop(*hidden)
 
 
-def net_expr(pax: Column, length: Column, per_diem: Column, discount: Column, commission: Column,
-             direct: Column, promo: Column, air_share: Column, air_cost: Column, taxes: Column) -> Column:
-    """Net revenue of one sailing as a single expression."""
-    kept = pax * per_diem * length * (1.0 - discount)
-    return kept - kept * commission * (1.0 - direct) - pax * (promo + air_share * air_cost + taxes)
-
-
 def waterfall_summary(forecast: DataFrame) -> DataFrame:
     """Monthly waterfall by brand and trade."""
     return forecast.groupBy("forecast_month", "brand", "trade").agg(*[F.sum(a).alias(a) for a in AMOUNTS])

@@ -73,7 +73,8 @@ def run_forecast(monthly: DataFrame, run_id: str, as_of: str, horizon: int = HOR
     summing = settle(summing_table(bottom), "summing")
     cutoffs = [month_before(as_of, m) for m in cutoff_months]
     errors = rolling_origin_errors(levels, models, cutoffs, min(cutoff_months) - 1)
-    choice = settle(best_model(model_mae(errors), list(models)).select("driver", "model"), "choice")
+    # One row per driver.
+    choice = F.broadcast(settle(best_model(model_mae(errors), list(models)).select("driver", "model"), "choice"))
     fitted = fit_models(densify(series_arrays(levels), last), models, horizon)
     fitted = settle(fitted.drop("pts", "ys"), "fitted")
     best = gaussian_interval(forecasts_long(fitted, list(models)).join(choice, ["driver", "model"]))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.functions.scalar import floor_round, season
+from fairlead.functions.scalar import floor_round_sql, season
 from fairlead.operators.waterfall import waterfall
+from fairlead.session import settle
 from fairlead.sources.schemas import SCHEDULE_COLUMNS
 
 AS_OF = "2000-08-01"
@@ -64,55 +65,70 @@ def facts(spark: SparkSession, sf_dir: str, start: str | None = None, end: str |
         .join(_line_totals(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(places, F.col("o_custkey") == F.col("c_custkey"))
     )
-    c, key, cust = F.col, F.col("o_orderkey"), F.col("o_custkey")
-    length = key % 12 + 3
-    return joined.select(
-        key.alias("sailing_id"),
-        F.concat(F.lit("Ship_"), (cust % 200).cast("string")).alias("ship_name"),
-        c("c_mktsegment").alias("ship_class"),
-        c("r_name").alias("brand"),
-        c("o_orderpriority").alias("trade"),
-        length.cast("int").alias("itinerary_length"),
-        c("o_orderdate").cast("date").alias("departure_date"),
-        (F.coalesce(c("n_lines"), F.lit(1)) * 50).cast("int").alias("lower_berth_capacity"),
-        c("qty").cast("int").alias("passengers_booked"),
-        c("gross").alias("gross_ticket_revenue"),
-        floor_round(c("gross") / (c("qty") * length), 2).alias("gross_fare_per_diem"),
-        floor_round(c("qty") / (c("n_lines") * 50), 4).alias("load_factor"),
-        floor_round(c("disc") / c("gross"), 4).alias("discount_rate"),
-        floor_round(c("tax_sum") / c("n_lines"), 4).alias("commission_rate"),
-        (cust % 51 + 30).cast("double").alias("promo_cost_per_pax"),
-        ((key % 16 + 15).cast("double") / 100.0).alias("direct_booking_pct"),
-        ((cust % 16 + 10).cast("double") / 100.0).alias("air_inclusive_pct"),
-        ((key * 7) % 201 + 250).cast("double").alias("air_cost_per_pax"),
-        ((cust * 3) % 121 + 80).cast("double").alias("taxes_fees_per_pax"),
+    length = "(o_orderkey % 12 + 3)"
+    return joined.selectExpr(
+        "o_orderkey as sailing_id",
+        "concat('Ship_', o_custkey % 200) as ship_name",
+        "c_mktsegment as ship_class",
+        "r_name as brand",
+        "o_orderpriority as trade",
+        f"cast({length} as int) as itinerary_length",
+        "cast(o_orderdate as date) as departure_date",
+        "cast(coalesce(n_lines, 1) * 50 as int) as lower_berth_capacity",
+        "cast(qty as int) as passengers_booked",
+        "gross as gross_ticket_revenue",
+        f"{floor_round_sql(f'gross / (qty * {length})', 2)} as gross_fare_per_diem",
+        f"{floor_round_sql('qty / (n_lines * 50)', 4)} as load_factor",
+        f"{floor_round_sql('disc / gross', 4)} as discount_rate",
+        f"{floor_round_sql('tax_sum / n_lines', 4)} as commission_rate",
+        "cast(o_custkey % 51 + 30 as double) as promo_cost_per_pax",
+        "cast(o_orderkey % 16 + 15 as double) / 100 as direct_booking_pct",
+        "cast(o_custkey % 16 + 10 as double) / 100 as air_inclusive_pct",
+        "cast((o_orderkey * 7) % 201 + 250 as double) as air_cost_per_pax",
+        "cast((o_custkey * 3) % 121 + 80 as double) as taxes_fees_per_pax",
         # Inputs of the extended deductions.
-        F.when(key % 3 == 0, (cust % 21 + 10).cast("double") * 0.4 / 1000.0).otherwise(0.0)
-        .alias("commission_override_pct"),
-        F.when(key % 3 == 1, (cust % 76).cast("double")).otherwise(0.0).alias("kicker_per_cabin"),
+        "if(o_orderkey % 3 = 0, cast(o_custkey % 21 + 10 as double) * 0.4D / 1000, 0D) as commission_override_pct",
+        "if(o_orderkey % 3 = 1, cast(o_custkey % 76 as double), 0D) as kicker_per_cabin",
     )
 
 
-def history(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    """Completed sailings with actuals, season and the waterfall of the booked passengers."""
-    df = facts(spark, sf_dir, end=as_of).drop("commission_override_pct", "kicker_per_cabin")
-    df = df.withColumns({
-        "departure_month": F.month("departure_date").cast("bigint"),
-        "season": season("departure_date"),
-    })
+def as_history(sailings: DataFrame) -> DataFrame:
+    """Actuals with season and the waterfall of the booked passengers."""
+    df = sailings.drop("commission_override_pct", "kicker_per_cabin").withColumns(_calendar())
     return waterfall(df, pax_mode="given", decimals=2)
 
 
+def as_schedule(sailings: DataFrame) -> DataFrame:
+    """The columns known before departure, with season."""
+    return sailings.select(*SCHEDULE_COLUMNS).withColumns(_calendar())
+
+
+def _calendar():
+    return {"departure_month": F.month("departure_date").cast("bigint"), "season": season("departure_date")}
+
+
+def _months_later(day: str, months: int) -> str:
+    y, m, d = (int(x) for x in day.split("-"))
+    k = y * 12 + m - 1 + months
+    return f"{k // 12:04d}-{k % 12 + 1:02d}-{d:02d}"
+
+
+def history(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+    """Completed sailings."""
+    return as_history(facts(spark, sf_dir, end=as_of))
+
+
 def future(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, months: int = 12) -> DataFrame:
     """Scheduled sailings of the next months: capacity known, revenue not."""
-    year, month, day = (int(x) for x in as_of.split("-"))
-    last = year * 12 + month - 1 + months
-    end = f"{last // 12:04d}-{last % 12 + 1:02d}-{day:02d}"
-    df = facts(spark, sf_dir, start=as_of, end=end).select(*SCHEDULE_COLUMNS)
-    return df.withColumns({
-        "departure_month": F.month("departure_date").cast("bigint"),
-        "season": season("departure_date"),
-    })
+    return as_schedule(facts(spark, sf_dir, start=as_of, end=_months_later(as_of, months)))
+
+
+def history_and_future(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, months: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Both, from one written table: for jobs that read the history more than once."""
+    known = settle(facts(spark, sf_dir, end=_months_later(as_of, months)), "sailings")
+    departs = F.col("departure_date")
+    day = F.lit(as_of).cast("date")
+    return as_history(known.where(departs < day)), as_schedule(known.where(departs >= day))
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
