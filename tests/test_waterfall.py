@@ -80,9 +80,9 @@ def test_scalar_helpers(spark):
         S.is_peak("d", F.lit("other")).alias("unknown"), S.horizon_index("d", F.lit(dt.date(2000, 8, 1))).alias("h"),
         S.fmt_dollars("x").alias("usd"), S.fmt_percent("p").alias("pct"), S.fmt_millions(F.lit(1234.56e6)).alias("mio"),
         S.fmt_billions(F.lit(1.236e9)).alias("bio"), S.safe_div("x", F.lit(0)).alias("div"),
-        S.clip(F.lit(120.0), 0, 100).alias("clip"), S.floor_round(F.lit(0.285), 2).alias("r"),
+        S.clip(F.lit(120.0), 0, 100).alias("clip"), S.floor_round(F.lit(0.125), 2).alias("r"),
         S.key_part(F.lit("a/b/c"), 1).alias("part"), S.key_depth(F.lit("a/b/c")).alias("depth"),
         S.floor_round(F.lit(1e17), 2).alias("big")).first()
     assert row.season == "Winter" and row.q == "Q4 2000" and row.peak and not row.unknown and row.h == 5
     assert row.usd == "$-1,234,567" and row.pct == "12.4%" and row.mio == "$1,234.6M" and row.bio == "$1.24B"
-    assert row["div"] is None and row.clip == 100 and row.r == 0.29 and row.part == "b" and row.depth == 2 and row.big == 1e17
+    assert row["div"] is None and row.clip == 100 and row.r == 0.13 and row.part == "b" and row.depth == 2 and row.big == 1e17
