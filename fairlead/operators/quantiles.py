@@ -22,9 +22,12 @@ def value_counts(df: DataFrame, keys: list[str], measures: list[str]) -> DataFra
     return long.groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def coarse_bin(value: Column) -> Column:
-    """Lower edge at three significant digits: monotone, at most 900 bins per power of ten."""
-    step = F.coalesce(F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))) - 2), F.lit(1.0))
+DIGITS = 4
+
+
+def coarse_bin(value: Column, digits: int = DIGITS) -> Column:
+    """Lower edge at ``digits`` significant digits: monotone, at most 9,000 bins per power of ten for 4."""
+    step = F.coalesce(F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))) - (digits - 1)), F.lit(1.0))
     return F.floor(value / step) * step
 
 
