@@ -100,7 +100,7 @@ hist as (
     count(*) as n_sailings, cast(sum(passengers_booked) as bigint) as total_passengers,
     cast(sum(lower_berth_capacity) as bigint) as total_capacity,
     sum(passengers_booked)::double / nullif(sum(lower_berth_capacity), 0) as load_factor,
-    sum(gross_fare_per_diem*passengers_booked) / nullif(sum(passengers_booked), 0) as gross_fare_per_diem,
+    {fr('sum(gross_fare_per_diem*passengers_booked) / nullif(sum(passengers_booked), 0)', 9)} as gross_fare_per_diem,
     sum(gross_ticket_revenue) as gross_ticket_revenue, sum(net_ticket_revenue) as net_ticket_revenue,
     {', '.join(f'avg({c}) as {c}' for c in RATES)}
   from hist group by all)"""),

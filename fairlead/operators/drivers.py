@@ -11,7 +11,10 @@ from fairlead.operators.quantiles import moments_of_counts, quantiles_of_counts,
 
 
 def monthly_drivers(history: DataFrame, dims: list[str] = DIMS) -> DataFrame:
-    """Monthly series: load factor is a ratio of sums, per diem is weighted by passengers, rates are means."""
+    """Monthly series: load factor is a ratio of sums, per diem is weighted by passengers, rates are means.
+
+    The per diem is settled at nine decimals, which drops the order of summation from its last bits.
+    """
     sums = history.groupBy(month_start("departure_date").alias("month"), *dims).agg(
         F.count(F.lit(1)).alias("n_sailings"),
         F.sum("passengers_booked").alias("total_passengers"),
@@ -24,7 +27,7 @@ def monthly_drivers(history: DataFrame, dims: list[str] = DIMS) -> DataFrame:
     return sums.select(
         "month", *dims, "n_sailings", "total_passengers", "total_capacity",
         safe_div("total_passengers", "total_capacity").alias("load_factor"),
-        safe_div("fare_days", "total_passengers").alias("gross_fare_per_diem"),
+        floor_round(safe_div("fare_days", "total_passengers"), 9).alias("gross_fare_per_diem"),
         "gross_ticket_revenue", "net_ticket_revenue", *RATES,
     )
 
