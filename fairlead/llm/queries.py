@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import pii, slots
-from fairlead.llm.tables import table
+from fairlead.llm import bpe, pii, slots
+from fairlead.llm.tables import let_workers_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,13 +20,29 @@ PII_KEY = "registered query"
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            let_workers_import(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return run
     return register
 
 
+@query("op6_tree_bpe")
+def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded, as digests."""
+    vocab = bpe.vocabulary()
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab, keep_text=False)
+    return bpe.decode(encoded, vocab).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op9_virtual_slots")
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_crc(column: str = "doc_id"):
     """crc32 of an id written as text; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package when only the driver's path has it.
+
+    On a cluster the package is installed or sent with --py-files; the extra path then does nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
