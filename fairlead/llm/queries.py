@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, pii, slots
+from fairlead.llm import bpe, pii, simhash, slots
 from fairlead.llm.tables import let_workers_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op5_anchor_simhash")
+def op5_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op6_tree_bpe")
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded, as digests."""
