@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, pii, simhash, slots
+from fairlead.llm import bpe, pii, simhash, slots, warc
 from fairlead.llm.tables import let_workers_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,18 @@ def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op7_warc_ranges", """
+    with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+    f as (select payload_digest as d, min(page_id) as first from p where payload_bytes >= 100 group by 1)
+    select page_id, payload_bytes, payload_digest,
+           case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+           case when first is not null and page_id is distinct from first then first end as refers_to
+    from p left join f on payload_digest = d""")
+def op7_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op9_virtual_slots")
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
