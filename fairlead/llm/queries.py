@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, pii, simhash, slots, warc
+from fairlead.llm import bpe, pii, secretscan, simhash, slots, warc
 from fairlead.llm.tables import let_workers_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_layered_secrets")
+def op4_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, in the text and in its decoded layers."""
+    return secretscan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op5_anchor_simhash")
 def op5_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of all documents."""
