@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, pii, secretscan, simhash, slots, warc
-from fairlead.llm.tables import let_workers_import, table
+from fairlead.llm import bpe, pii, secretscan, simhash, slots, toxicity, warc
+from fairlead.llm.tables import id_crc, let_workers_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_toxicity_grammar")
+def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query("op4_layered_secrets")
 def op4_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, in the text and in its decoded layers."""
