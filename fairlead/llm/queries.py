@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, pii, secretscan, simhash, slots, toxicity, warc
+from fairlead.llm import bpe, langid, pii, secretscan, simhash, slots, toxicity, warc
 from fairlead.llm.tables import id_crc, let_workers_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,17 @@ def op7_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op8_piece_langid")
+def op8_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from the rows that are not held out."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(F.coalesce(id_crc() % 4 != 2, F.lit(True))), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs, model).select(
+        "doc_id", F.coalesce(id_crc() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_virtual_slots")
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
