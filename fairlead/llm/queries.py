@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, langid, pii, secretscan, simhash, slots, toxicity, warc
+from fairlead.llm import bpe, langid, outliers, pii, secretscan, simhash, slots, toxicity, warc
 from fairlead.llm.tables import id_crc, let_workers_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,13 @@ def op1_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(id_crc() % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query("op2_mcd_outliers")
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict on all documents."""
+    return outliers.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 @query("op4_layered_secrets")
 def op4_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, in the text and in its decoded layers."""
