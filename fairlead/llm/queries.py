@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, langid, outliers, pii, secretscan, simhash, slots, toxicity, warc
+from fairlead.llm import bpe, decontaminate, langid, outliers, pii, secretscan, simhash, slots, toxicity, warc
 from fairlead.llm.tables import id_crc, let_workers_import, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+@query("op3_cgk_decontamination")
+def op3_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_layered_secrets")
 def op4_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, in the text and in its decoded layers."""
