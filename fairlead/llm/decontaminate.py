@@ -13,6 +13,7 @@ one and pushes one out of the window; so after k edits the window at the passage
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"\w+")
@@ -232,19 +233,24 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int
 HITS = "id bigint, item_id bigint, start_word bigint, end_word bigint, distance bigint"
 
 
+def shared_blocks(spark: SparkSession, benchmark: DataFrame, edits: float = EDITS) -> list:
+    """The items, prepared and broadcast in blocks of about BLOCK. Counts and collects them, block by block."""
+    known = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    blocks = max(1, -(-known.count() // BLOCK))
+    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    return [spark.sparkContext.broadcast(prepare([(r["item_id"], r["text"]) for r in known.where(block_of == b).collect()], edits))
+            for b in range(blocks)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, item_id, start_word, end_word, distance) of each benchmark passage in a document; clean documents have no row.
 
     Null and empty texts have none; null and empty items, and items under LEAST_WORDS words, name none. Equal items are found each
-    under its own id; items whose id is null too. Items go out in blocks of about BLOCK, each over all documents.
-    Counts and collects the items, block by block, while it is called.
+    under its own id; items whose id is null too. Each block of items is sought in all documents.
     """
-    spark = docs.sparkSession
-    known = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
-    blocks = max(1, -(-known.count() // BLOCK))
     parts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
 
-    def matcher(shared):
+    def finder(shared):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
@@ -256,10 +262,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, te
                          *(pa.array(hits[:, c]) for c in (2, 3, 4))], [f.split()[0] for f in HITS.split(", ")])
         return rows
 
-    found = None
-    for b in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(prepare([(r["item_id"], r["text"]) for r in block], edits))
-        hits = parts.mapInArrow(matcher(shared), HITS)
-        found = hits if found is None else found.unionByName(hits)
-    return found.withColumnRenamed("id", key)
+    found = [parts.mapInArrow(finder(shared), HITS) for shared in shared_blocks(docs.sparkSession, benchmark, edits)]
+    return functools.reduce(DataFrame.unionByName, found).withColumnRenamed("id", key)
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark passage, all columns carried. One pass a block of items, no join."""
+    at_text = docs.columns.index(text)
+
+    def keeper(shared):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    clean = np.ones(part.num_rows, dtype=bool)
+                    clean[[hit[0] for hit in find(shared.value, part.column(at_text).to_pylist())]] = False
+                    yield part.filter(pa.array(clean))
+        return rows
+
+    for shared in shared_blocks(docs.sparkSession, benchmark, edits):
+        docs = docs.mapInArrow(keeper(shared), docs.schema)
+    return docs
