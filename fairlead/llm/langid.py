@@ -208,7 +208,7 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior of each text, und and 0 without letters. Texts are handled a few at a time."""
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [LETTERS.findall(t.lower()) if t and self.model.languages else [] for t in texts]
         if len(self.place) > self.most:
             self.place, self.scores = {}, self.scores[:0]
         new = list({w for ws in words for w in ws}.difference(self.place))
@@ -217,7 +217,7 @@ class Scorer:
             self.scores = np.concatenate([self.scores, word_scores(new, self.vocab, self.model.prob)])
         out = []
         for ws in words:
-            if not ws or not self.model.languages:
+            if not ws:
                 out.append(("und", 0.0))
                 continue
             total = self.model.prior.copy()
@@ -232,7 +232,7 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) of each row: the likeliest language and its posterior; und and 0 for null or without a letter.
 
-    Equal likelihoods go to the first language in order. Other columns are not read.
+    Equal likelihoods go to the first language in order; a model that learned no language says und. Other columns are not read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
