@@ -1,12 +1,15 @@
 """Coherent forecasts over the hierarchy.
 
-The variance of the errors weighs how far each node moves (minimum trace with a shrunk covariance
-W = s diag(V) + (1 - s) V). With U = the constraints "node minus its bottom series", the reconciled
-bottom forecasts are b - J W U (U' W U)^-1 U' y. Written so, nothing of size nodes x nodes is needed:
-U' V U is the covariance of the errors' own incoherence, and J W U g the covariance of the bottom errors
-with one combined series. Work grows with nodes x months x horizon; only the system over the upper nodes
-is square. Up to ``DIRECT_LIMIT`` upper nodes it is solved on the driver, beyond that by conjugate
-gradients whose vectors stay distributed.
+The variance of the errors weighs how far each node moves: minimum trace with the shrunk covariance
+W = s diag(V) + (1 - s) V. With U = the constraints "node minus its bottom series" the reconciled forecasts are
+y - W U (U' W U)^-1 U' y. V has the rank of the months, V = F F' with one column per month, so
+
+    (s U' D U + G G') g = u,   G = U' F,   u = U' y.
+
+The diagonal part alone is the reconciliation of a tree: one pass up the levels, adding up variances and means, and one
+pass down, sharing out what is left. It is done for the columns of G and u at once. What couples them is a
+system of months x months, bounded by the calendar (Woodbury). There is one way for any number of nodes; work grows with
+nodes x months x (months + horizon).
 
 Tables with one row per driver, or per driver, month and step, are bounded by the calendar and broadcast;
 tables that grow with the series never are by hint.
@@ -21,7 +24,12 @@ from pyspark.sql import functions as F
 
 from fairlead.session import settle
 
-DIRECT_LIMIT = 2000
+#: Least shrinkage: at 0 the weights have only the rank of the months, and the solution is taken as the limit.
+LEAST_SHRINKAGE = 1e-6
+#: A node without variance gets this share of its driver's largest variance, so it moves only where nothing else can.
+LEAST_VARIANCE = 1e-9
+#: Columns of a tree pass: months as 0, 1, ..., steps ahead from here on.
+STEPS_FROM = 1_000_000
 
 
 def bottom_up(forecasts: DataFrame, summing: DataFrame, value: str = "yhat") -> DataFrame:
@@ -70,13 +78,13 @@ def shrinkage(nodes: DataFrame) -> DataFrame:
     return sums.join(live, "driver").select("driver", lam.alias("lam"))
 
 
-def _constraint_parts(forecasts, nodes, summing):
-    """Per upper node: error incoherence per month (array), forecast incoherence per step; and U'DU."""
+def _incoherence(forecasts: DataFrame, nodes: DataFrame, summing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per upper node what it differs from its bottom series: in errors by month, in forecasts by step."""
     upper = summing.where(F.col("node") != F.col("bottom_id")).select("node", "bottom_id")
     is_upper = upper.select("node").distinct()
     bottom_of = lambda df: df.join(upper, F.col("unique_id") == F.col("bottom_id"))
 
-    e_long = nodes.select("driver", "unique_id", "v", F.posexplode("e").alias("t", "e"))
+    e_long = nodes.select("driver", "unique_id", F.posexplode("e").alias("t", "e"))
     own = e_long.join(is_upper, F.col("unique_id") == F.col("node")).select("driver", "node", "t", "e")
     below = bottom_of(e_long).select("driver", "node", "t", (-F.col("e")).alias("e"))
     d = own.unionByName(below).groupBy("driver", "node", "t").agg(F.sum("e").alias("d"))
@@ -84,105 +92,117 @@ def _constraint_parts(forecasts, nodes, summing):
     own_y = forecasts.join(is_upper, F.col("unique_id") == F.col("node")).select("driver", "node", "h", "yhat")
     below_y = bottom_of(forecasts).select("driver", "node", "h", (-F.col("yhat")).alias("yhat"))
     u = own_y.unionByName(below_y).groupBy("driver", "node", "h").agg(F.sum("yhat").alias("u"))
+    return d, u
+
+
+def tree_edges(summing: DataFrame) -> DataFrame:
+    """(parent, level, child): each upper node with its level and the nodes of the next level below it."""
+    lines = summing.groupBy("bottom_id").agg(F.sort_array(F.collect_set(F.struct("level", "node"))).alias("line"))
+    pairs = lines.select(F.explode(F.expr(
+        "transform(slice(line, 1, size(line) - 1), (x, i) -> struct(x.node as parent, x.level as level, line[i + 1].node as child))"
+    )).alias("p"))
+    return pairs.select("p.*").distinct()
 
-    # A bottom series has one ancestor per level, so the pairs below are levels squared per series.
-    lines = upper.groupBy("bottom_id").agg(F.collect_list("node").alias("up"))
-    share = nodes.join(lines, F.col("unique_id") == F.col("bottom_id"))
-    share = share.select("driver", "v", "up", F.explode("up").alias("a")).select("driver", "a", F.explode("up").alias("b"), "v")
-    own_v = nodes.join(is_upper, F.col("unique_id") == F.col("node")).select("driver", F.col("node").alias("a"), F.col("node").alias("b"), "v")
-    dd = share.unionByName(own_v).groupBy("driver", "a", "b").agg(F.sum("v").alias("w"))
-    return d, u, dd
-
-
-def _solve_direct(d, u, dd, lam, T):
-    """Solve the square system over the upper nodes on the driver; it holds model values, not data."""
-    pd_d, pd_u, pd_dd = d.toPandas(), u.toPandas(), dd.toPandas()
-    lam, T = lam.toPandas().set_index("driver")["lam"], T.toPandas().set_index("driver")["n_months"]
-    rows = []
-    for driver, part in pd_u.groupby("driver"):
-        g = part.pivot(index="node", columns="h", values="u")
-        names, place = g.index, {n: i for i, n in enumerate(g.index)}
-        D = pd_d[pd_d.driver == driver].pivot(index="node", columns="t", values="d").reindex(names).fillna(0.0).to_numpy()
-        W = np.zeros((len(names), len(names)))
-        sub = pd_dd[pd_dd.driver == driver]
-        np.add.at(W, (sub.a.map(place).to_numpy(), sub.b.map(place).to_numpy()), sub.w.to_numpy())
-        A = lam[driver] * W + (1 - lam[driver]) * D @ D.T / (T[driver] - 1)
-        x = np.linalg.lstsq(A, g.to_numpy(), rcond=None)[0]
-        rows.append(pd.DataFrame(x, index=names, columns=g.columns).rename_axis("node").reset_index()
-                    .melt("node", var_name="h", value_name="g").assign(driver=driver))
-    return pd.concat(rows)[["driver", "node", "h", "g"]]
-
-
-def _apply_system(v, d, dd, lam, T):
-    """(U' W U) v for a distributed vector v of (driver, node, h, x)."""
-    q = v.join(d, ["driver", "node"]).groupBy("driver", "h", "t").agg(F.sum(F.col("x") * F.col("d")).alias("q"))
-    full = d.join(F.broadcast(q), ["driver", "t"]).groupBy("driver", "node", "h").agg(F.sum(F.col("d") * F.col("q")).alias("c"))
-    full = full.join(F.broadcast(T), "driver").join(F.broadcast(lam), "driver").select(
-        "driver", "node", "h", (F.col("c") / (F.col("n_months") - 1) * (1 - F.col("lam"))).alias("x"))
-    diag = dd.join(v.withColumnRenamed("node", "b"), ["driver", "b"]).groupBy("driver", F.col("a").alias("node"), "h").agg(
-        F.sum(F.col("w") * F.col("x")).alias("c"))
-    diag = diag.join(F.broadcast(lam), "driver").select("driver", "node", "h", (F.col("c") * F.col("lam")).alias("x"))
-    return full.unionByName(diag).groupBy("driver", "node", "h").agg(F.sum("x").alias("x"))
-
-
-def _solve_distributed(d, u, dd, lam, T, tolerance=1e-10, max_steps=500):
-    """Conjugate gradients for all steps ahead at once; each round is written, so plans stay short."""
-    key = ["driver", "node", "h"]
-    state = settle(u.select(*key, F.lit(0.0).alias("g"), F.col("u").alias("r"), F.col("u").alias("p")), "cg")
-    start = None
-    for _ in range(max_steps):
-        ap = _apply_system(state.select(*key, F.col("p").alias("x")), d, dd, lam, T).withColumnRenamed("x", "ap")
-        both = settle(state.join(ap, key), "cg")
-        step = both.groupBy("driver", "h").agg(
-            F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("ap")).alias("pap"))
-        alpha = F.coalesce(F.try_divide("rr", "pap"), F.lit(0.0))
-        moved = both.join(F.broadcast(step), ["driver", "h"]).select(
-            *key, (F.col("g") + alpha * F.col("p")).alias("g"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "rr")
-        moved = settle(moved, "cg")
-        after = moved.groupBy("driver", "h").agg(F.sum(F.col("r") * F.col("r")).alias("rr1"))
-        beta = F.coalesce(F.try_divide("rr1", "rr"), F.lit(0.0))
-        state = settle(moved.join(F.broadcast(after), ["driver", "h"]).select(
-            *key, "g", "r", (F.col("r") + beta * F.col("p")).alias("p")), "cg")
-        left, first = (moved.join(F.broadcast(after), ["driver", "h"]).agg(F.max(F.sqrt("rr1")), F.max(F.sqrt("rr"))).first())
-        start = start or first or 1.0
-        if left is None or left <= tolerance * start:
-            break
-    return state.select(*key, "g")
-
-
-def reconcile(forecasts: DataFrame, residuals: DataFrame, summing: DataFrame,
-              direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+
+def tree_solution(r: DataFrame, variance: DataFrame, edges: DataFrame) -> DataFrame:
+    """Least weighted changes that meet all constraints: (driver, node, c, x) with sum of x^2 / v least.
+
+    ``r`` (driver, node, c, r) says by how much an upper node's change exceeds the changes of its bottom series, column by
+    column; ``variance`` (driver, node, v) is positive for all nodes. Levels are few and walked one by one.
+    """
+    key, cell = ["driver", "node"], ["driver", "node", "c"]
+    levels = sorted((x["level"] for x in edges.select("level").distinct().collect()), reverse=True)
+    below, means = variance, None  # of the children: bottom series have their own variance and mean zero
+    done = {}
+    for level in levels:
+        kids = edges.where(F.col("level") == level).select(F.col("parent"), F.col("child").alias("node"))
+        spread = below.join(kids, "node").groupBy("driver", F.col("parent").alias("node")).agg(F.sum("v").alias("below_v"))
+        own = spread.join(variance, key)
+        cells = r.join(own, key)
+        if means is None:
+            cells = cells.withColumn("below_m", F.lit(0.0))
+        else:
+            summed = means.join(kids, "node").groupBy("driver", F.col("parent").alias("node"), "c").agg(F.sum("m").alias("below_m"))
+            cells = cells.join(summed, cell)
+        w = F.col("v") * F.col("below_v") / (F.col("v") + F.col("below_v"))
+        cells = settle(cells.select(*cell, "r", "v", "below_v", "below_m", w.alias("w"), (w * (F.col("below_m") / F.col("below_v") - F.col("r") / F.col("v"))).alias("m")), "tree")
+        done[level] = cells
+        below, means = own.select(*key, w.alias("v")), cells.select(*cell, "m")
+    parts, s = [], None
+    for level in reversed(levels):
+        cells = done[level]
+        if s is None:
+            here = cells.withColumn("s", F.col("m"))
+        else:
+            here = cells.join(s, cell).withColumn("s", F.col("m") + F.col("w") * F.col("rest"))
+        here = settle(here.select(*cell, "r", "v", "below_v", "below_m", "s"), "tree")
+        parts.append(here.select(*cell, (F.col("r") + F.col("s")).alias("x")))
+        kids = edges.where(F.col("level") == level).select(F.col("parent"), "child")
+        s = here.join(kids, F.col("node") == F.col("parent")).select(
+            "driver", F.col("child").alias("node"), "c", ((F.col("s") - F.col("below_m")) / F.col("below_v")).alias("rest"))
+    if s is not None:
+        parts.append(s.join(variance, key).select(*cell, (F.col("v") * F.col("rest")).alias("x")))
+    out = parts[0] if parts else r.select(*cell, F.col("r").alias("x"))
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _coupling(x: DataFrame, variance: DataFrame, lam: DataFrame) -> DataFrame:
+    """q (driver, t, h, q): the months' combined weights, from the products of the tree solutions' columns.
+
+    The products are summed over all nodes by pairs of columns; one driver's system has a row per month.
+    """
+    rows = x.groupBy("driver", "node").agg(F.collect_list(F.struct("c", "x")).alias("cells")).join(variance, ["driver", "node"])
+    pairs = rows.select("driver", "v", "cells", F.inline("cells")).where(F.col("c") < STEPS_FROM).select(
+        "driver", "v", F.col("c").alias("a"), F.col("x").alias("xa"), F.inline("cells"))
+    gram = pairs.groupBy("driver", "a", F.col("c").alias("b")).agg(F.sum(F.col("xa") * F.col("x") / F.col("v")).alias("p"))
+    gram = gram.join(F.broadcast(lam), "driver").select("driver", "a", "b", (F.col("p") / F.col("lam")).alias("p"))
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        table = part.pivot(index="a", columns="b", values="p").fillna(0.0)
+        months = list(table.index)
+        steps = [c for c in table.columns if c >= STEPS_FROM]
+        system = np.eye(len(months)) + table.reindex(columns=months, fill_value=0.0).to_numpy()
+        q = np.linalg.solve(system, table[steps].to_numpy()) if steps else np.empty((len(months), 0))
+        return pd.DataFrame({"driver": part["driver"].iloc[0], "t": np.repeat(months, len(steps)),
+                             "h": np.tile(steps, len(months)) - STEPS_FROM if steps else np.empty(0, np.int64), "q": q.reshape(-1)})
+
+    return gram.groupBy("driver").applyInPandas(solve, "driver string, t bigint, h bigint, q double")
+
+
+def reconcile(forecasts: DataFrame, residuals: DataFrame, summing: DataFrame) -> DataFrame:
     """Coherent forecasts of all nodes: (driver, unique_id, level, ds, yhat).
 
     ``forecasts``: (driver, unique_id, h, ds, yhat) of every node; ``residuals``: (driver, unique_id,
-    ds, e) of every node.
+    ds, e) of every node. Runs jobs while it is called.
     """
     nodes = settle(standardised(residuals), "nodes")
-    forecasts = settle(forecasts.select("driver", "unique_id", "h", "ds", "yhat"), "base")
-    lam = settle(shrinkage(nodes), "lambda")
-    T = nodes.select("driver", "n_months").distinct()
-    d, u, dd = (settle(x, "system") for x in _constraint_parts(forecasts, nodes, summing))
-    if u.groupBy("driver").agg(F.countDistinct("node").alias("k")).agg(F.max("k")).first()[0] <= direct_limit:
-        g = forecasts.sparkSession.createDataFrame(
-            _solve_direct(d, u, dd, lam, T), "driver string, node string, h bigint, g double")
-    else:
-        g = _solve_distributed(d, u, dd, lam, T)
-    g = settle(g, "multipliers")
-    # J W U g: the covariance of the bottom errors with the combined series q, and the diagonal part.
-    q = d.join(g, ["driver", "node"]).groupBy("driver", "t", "h").agg(F.sum(F.col("d") * F.col("g")).alias("q"))
-    upper = summing.where(F.col("node") != F.col("bottom_id"))
-    bottoms = nodes.join(upper.select("bottom_id").distinct(), F.col("unique_id") == F.col("bottom_id"), "left_semi")
-    e_long = bottoms.select("driver", "unique_id", "n_months", F.posexplode("e").alias("t", "e"))
-    cov = e_long.join(F.broadcast(q), ["driver", "t"]).groupBy("driver", "unique_id", "h", "n_months").agg(
-        F.sum(F.col("e") * F.col("q")).alias("c"))
-    up = upper.join(g, "node").groupBy("driver", F.col("bottom_id").alias("unique_id"), "h").agg(F.sum("g").alias("up"))
-    move = (
-        cov.join(up, ["driver", "unique_id", "h"]).join(nodes.select("driver", "unique_id", "v"), ["driver", "unique_id"])
-        .join(F.broadcast(lam), "driver").select("driver", "unique_id", "h", (
-            (1 - F.col("lam")) * F.col("c") / (F.col("n_months") - 1) - F.col("lam") * F.col("v") * F.col("up")).alias("move"))
-    )
-    bottom = forecasts.join(move, ["driver", "unique_id", "h"]).select(
-        "driver", "unique_id", "ds", (F.col("yhat") - F.col("move")).alias("yhat"))
+    forecasts = settle(forecasts.select("driver", "unique_id", F.col("h").cast("bigint").alias("h"), "ds", "yhat"), "base")
+    lam = F.greatest(F.col("lam"), F.lit(LEAST_SHRINKAGE))
+    share = F.sqrt((1 - F.col("lam")) / (F.col("n_months") - 1))
+    months = nodes.groupBy("driver").agg(F.max("n_months").alias("n_months"), F.max("v").alias("largest"))
+    per_driver = settle(shrinkage(nodes).select("driver", lam.alias("lam")).join(months, "driver").withColumn("share", share), "shrinkage")
+    floor = F.when(F.col("largest") > 0, F.col("largest") * LEAST_VARIANCE).otherwise(1.0)
+    variance = settle(nodes.join(F.broadcast(per_driver), "driver").select(
+        "driver", F.col("unique_id").alias("node"), F.greatest("v", floor).alias("v")), "variances")
+    d, u = _incoherence(forecasts, nodes, summing)
+    d = d.join(F.broadcast(per_driver), "driver").select("driver", "node", F.col("t").cast("bigint").alias("c"), (F.col("d") * F.col("share")).alias("r"))
+    r = settle(d.unionByName(u.select("driver", "node", (F.col("h") + STEPS_FROM).alias("c"), F.col("u").alias("r"))), "incoherence")
+    x = settle(tree_solution(r, variance, settle(tree_edges(summing), "tree-edges")), "tree-solution")
+    q = F.broadcast(settle(_coupling(x, variance, per_driver.select("driver", "lam")), "coupling"))
+
+    is_bottom = summing.select(F.col("bottom_id").alias("node")).distinct()
+    xb = x.join(is_bottom, "node", "left_semi")
+    direct = xb.where(F.col("c") >= STEPS_FROM).select("driver", "node", (F.col("c") - STEPS_FROM).alias("h"), "x")
+    through = xb.where(F.col("c") < STEPS_FROM).join(q, (xb["driver"] == q["driver"]) & (F.col("c") == F.col("t"))).select(
+        xb["driver"], "node", "h", (-F.col("x") * F.col("q")).alias("x"))
+    e = nodes.withColumnRenamed("unique_id", "node").join(is_bottom, "node", "left_semi").join(F.broadcast(per_driver.select("driver", "share")), "driver")
+    e = e.select("driver", "node", "share", F.posexplode("e").alias("t", "e"))
+    common = e.join(q, ["driver", "t"]).select("driver", "node", "h", (F.col("share") * F.col("e") * F.col("q")).alias("x"))
+    move = direct.unionByName(through).unionByName(common).groupBy("driver", F.col("node").alias("unique_id"), "h").agg(F.sum("x").alias("move"))
+    bottom = forecasts.join(is_bottom, F.col("unique_id") == F.col("node"), "left_semi").join(move, ["driver", "unique_id", "h"], "left").select(
+        "driver", "unique_id", "ds", (F.col("yhat") - F.coalesce("move", F.lit(0.0))).alias("yhat"))
     return bottom_up(settle(bottom, "bottom"), summing)
 
 

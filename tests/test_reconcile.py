@@ -9,11 +9,11 @@ from fairlead.forecasting import reconcile as R
 from fairlead.forecasting import series as S
 
 
-def setup(spark, seed=5):
-    """Two brands, two trades, two classes; 24 months of errors and three steps of base forecasts."""
+def setup(spark, seed=5, brands="AB", trades="xy", classes="12", skip=()):
+    """A tree of brands, trades and classes; 24 months of errors and three steps of base forecasts."""
     rng = np.random.default_rng(seed)
-    bottoms = ["/".join(x) for x in product("AB", "xy", "12")]
-    nodes = ["A", "B"] + ["/".join(x) for x in product("AB", "xy")] + bottoms
+    bottoms = [b for b in ("/".join(x) for x in product(brands, trades, classes)) if b not in skip]
+    nodes = list(brands) + sorted({b[:3] for b in bottoms}) + bottoms
     Smat = np.array([[float(b == n or b.startswith(n + "/")) for b in bottoms] for n in nodes])
     common = rng.normal(0, 1, (1, 24))
     e = rng.normal(0, 1, (len(nodes), 24)) * rng.uniform(0.5, 3, (len(nodes), 1)) + common
@@ -44,14 +44,15 @@ def by_formula(Smat, e, y):
     return lam, Smat @ np.linalg.solve(Smat.T @ Wi @ Smat, Smat.T @ Wi @ y)
 
 
-@pytest.mark.parametrize("limit", [2000, 0])
-def test_matches_the_matrix_formula(spark, limit):
-    """Solved directly and, with the limit at 0, by distributed conjugate gradients."""
-    nodes, Smat, e, y, fc, res, summing = setup(spark)
+@pytest.mark.parametrize("shape", [
+    {}, {"skip": ("A/x/1", "A/x/2", "B/y/2")}, {"brands": "ABCDEF", "trades": "stuvwxyz", "classes": "123", "seed": 9}])
+def test_matches_the_matrix_formula(spark, shape):
+    """One way for 6, 5 and 54 upper nodes."""
+    nodes, Smat, e, y, fc, res, summing = setup(spark, **shape)
     lam, want = by_formula(Smat, e, y)
     assert 0 < lam < 1
     assert R.shrinkage(R.standardised(res)).first().lam == pytest.approx(lam, rel=1e-9)
-    out = R.reconcile(fc, res, summing, direct_limit=limit)
+    out = R.reconcile(fc, res, summing)
     rows = out.orderBy("ds").collect()
     got = {n: [r.yhat for r in rows if r.unique_id == n] for n in nodes}
     for i, n in enumerate(nodes):
@@ -59,6 +60,27 @@ def test_matches_the_matrix_formula(spark, limit):
     assert R.coherence(out, summing).agg(F.sum("n_incoherent")).first()[0] == 0
 
 
+@pytest.mark.parametrize("still", [("A/x/1",), ("A",), ("A", "A/x", "A/x/1", "A/x/2")])
+def test_nodes_without_variance_stay(spark, still):
+    """A series without errors keeps its forecast where the others can take up the difference."""
+    nodes, Smat, e, y, fc, res, summing = setup(spark)
+    res = res.withColumn("e", F.when(F.col("unique_id").isin(*still), 0.0).otherwise(F.col("e")))
+    out = {(r.unique_id, r.ds.month): r.yhat for r in R.reconcile(fc, res, summing).collect()}
+    for i, n in enumerate(nodes):
+        for h in range(3):
+            below = sum(out[(b, h + 1)] for b in nodes if len(b) == 5 and b.startswith(n))
+            assert out[(n, h + 1)] == pytest.approx(below, rel=1e-9)
+            if still in (("A/x/1",), ("A",)) and n in still:
+                assert out[(n, h + 1)] == pytest.approx(y[i, h], rel=1e-4)
+
+
+def test_no_errors_at_all_is_least_squares(spark):
+    nodes, Smat, e, y, fc, res, summing = setup(spark)
+    got = {(r.unique_id, r.ds.month): r.yhat for r in R.reconcile(fc, res.withColumn("e", F.lit(0.0)), summing).collect()}
+    want = Smat @ np.linalg.lstsq(Smat, y, rcond=None)[0]
+    assert all(got[(n, h + 1)] == pytest.approx(want[i, h], rel=1e-9) for i, n in enumerate(nodes) for h in range(3))
+
+
 def test_coherent_input_stays(spark):
     nodes, Smat, e, y, _, res, summing = setup(spark)
     coherent = Smat @ y[6:]
