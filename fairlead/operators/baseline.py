@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.constants import ALL_DRIVERS, TREND
 from fairlead.functions.scalar import floor_round_sql, month_start
-from fairlead.operators.quantiles import quantiles_of_counts, roll_up_counts, settled_counts, value_counts
+from fairlead.operators.quantiles import quantiles_at_levels
 from fairlead.operators.waterfall import waterfall
 from fairlead.session import settle
 
@@ -17,15 +17,14 @@ MEDIAN = {"med": 0.5}
 
 def seasonal_medians(history: DataFrame, levels: list[list[str]] = FALLBACK_LEVELS,
                      measures: list[str] = ALL_DRIVERS) -> DataFrame:
-    """Medians of the drivers at every level of ``levels`` from one pass over the history.
+    """Medians of the drivers at every level of ``levels`` from two passes over the history.
 
     Columns: ``level`` (position in ``levels``), the keys (null where rolled up), ``<driver>_med``.
     Medians of values with at most four decimals have at most five; rounding to six settles the
     last bit of the interpolation.
     """
     finest = list(dict.fromkeys(k for ks in levels for k in ks))
-    counts = settled_counts(roll_up_counts(value_counts(history, finest, measures), levels))
-    meds = quantiles_of_counts(counts, ["level", *finest], MEDIAN, measures)
+    meds = quantiles_at_levels(history, levels, measures, MEDIAN)
     return meds.selectExpr("level", *finest, *[f"{floor_round_sql(f'{m}_med', 6)} as {m}_med" for m in measures])
 
 

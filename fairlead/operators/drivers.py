@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.constants import DIMS, DRIVER_SPEC, OVERRIDABLE, PERCENTILES, RATES
 from fairlead.functions.scalar import floor_round, month_start, safe_div
-from fairlead.operators.quantiles import moments_of_counts, quantiles_of_counts, settled_counts, value_counts
+from fairlead.operators.quantiles import group_quantiles
 
 
 def monthly_drivers(history: DataFrame, dims: list[str] = DIMS) -> DataFrame:
@@ -66,15 +66,17 @@ def driver_medians(monthly: DataFrame, dims: list[str] = DIMS) -> DataFrame:
 
 def driver_stats(history: DataFrame, drivers: list[str] = OVERRIDABLE) -> DataFrame:
     """Mean, sample deviation and exact percentiles of each driver over all sailings, one row per driver."""
-    counts = settled_counts(value_counts(history, [], drivers))
-    points = quantiles_of_counts(counts, [], PERCENTILES, drivers)
+    points = group_quantiles(history, [], drivers, PERCENTILES)
     labels = {d[0]: d[1] for d in DRIVER_SPEC}
     rows = F.array(*[
         F.struct(F.lit(d).alias("driver"), F.lit(labels.get(d, d)).alias("label"),
                  *[F.col(f"{d}_{p}").alias(p) for p in PERCENTILES])
         for d in drivers])
-    moments = moments_of_counts(counts).withColumnRenamed("measure", "driver")
-    return points.select(F.inline(rows)).join(moments, "driver").select("driver", "label", "mean", "std", *PERCENTILES)
+    moments = history.agg(*[f(d).alias(f"{d}_{n}") for d in drivers for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    moments = moments.select(F.inline(F.array(*[
+        F.struct(F.lit(d).alias("driver"), F.col(f"{d}_mean").alias("mean"), F.col(f"{d}_std").alias("std")) for d in drivers])))
+    # Both sides have one row per driver.
+    return points.select(F.inline(rows)).join(F.broadcast(moments), "driver").select("driver", "label", "mean", "std", *PERCENTILES)
 
 
 def monthly_display(history: DataFrame) -> DataFrame:

@@ -44,6 +44,26 @@ def test_quantiles_match_numpy_on_a_hot_group(spark):
                 assert row[f"{m}_{label}"] == pytest.approx(np.nanquantile(part[m], p), abs=1e-9)
 
 
+def test_quantiles_around_powers_of_ten(spark):
+    from fairlead.operators.quantiles import coarse_bin
+    near = [x for k in range(-12, 16) for p in (10.0**k,)
+            for x in (np.nextafter(p, 0), p, np.nextafter(p, np.inf), p * 0.9995, p * 1.0005, 9.5 * p)]
+    values = sorted({float(s * x) for x in near for s in (1, -1)} | {0.0, 5e-324, -5e-324, 1e-300, 1.7e308, -1.7e308})
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    bins = [r.b for r in df.select("v", coarse_bin(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert bins == sorted(bins)
+    odd = [999.5, 999.9999999999999, 999.6, 999.7, 500.0]
+    got = group_quantiles(spark.createDataFrame([(v,) for v in odd], "v double"), [], ["v"], {"p90": 0.9, "p100": 1.0}).first()
+    assert got.v_p100 == max(odd) and got.v_p90 == pytest.approx(np.quantile(odd, 0.9), rel=1e-15)
+
+
+def test_quantiles_of_many_distinct_values(spark):
+    df = spark.range(200_000).select(((F.col("id") * 7919) % 200_000 / 7.0).alias("v"))
+    got = group_quantiles(df, [], ["v"], PERCENTILES).first()
+    want = np.arange(200_000) / 7.0
+    assert all(got[f"v_{k}"] == pytest.approx(np.quantile(want, p), rel=1e-12) for k, p in PERCENTILES.items())
+
+
 def test_quantiles_of_constant_and_single_values(spark):
     df = spark.createDataFrame([("a", 5.0)] * 1000 + [("b", 1.0)] + [("c", None)], "k string, v double")
     got = {r.k: r for r in group_quantiles(df, ["k"], ["v"], PERCENTILES).collect()}
