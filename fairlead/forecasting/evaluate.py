@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,13 @@ def gaussian_interval(forecasts: DataFrame, z: float = Z80) -> DataFrame:
     return forecasts.withColumns({"lo": F.col("yhat") - width, "hi": F.col("yhat") + width})
 
 
+def model_interval(forecasts: DataFrame, level: float = 0.8) -> DataFrame:
+    """Normal interval at any level, as wide as the model's own error is at each step."""
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    width = z * F.col("sigma") * F.col("width")
+    return forecasts.withColumns({"lo": F.col("yhat") - width, "hi": F.col("yhat") + width})
+
+
 def conformal_interval(forecasts: DataFrame, errors: DataFrame, level: float = 0.8,
                        by: tuple[str, ...] = ("driver", "unique_id", "model")) -> DataFrame:
     """Interval from the ``level`` quantile of the absolute held-out errors of each series."""

@@ -1,8 +1,9 @@
 """Forecast models as expressions over series arrays.
 
-Every model takes rows with ``pts``, ``ys``, ``n`` and ``last`` (see ``series.densify``) and adds two
-columns: ``<name>_fc``, one value per future month, and ``<name>_res``, the one-step errors inside the
-sample, aligned to the end of the series. A model gives null where a series is too short for it.
+Every model takes rows with ``pts``, ``ys``, ``n`` and ``last`` (see ``series.densify``) and adds three
+columns: ``<name>_fc``, one value per future month, ``<name>_res``, the one-step errors inside the
+sample, aligned to the end of the series, and ``<name>_wid``, by how much the error of each future month is
+wider than that of one step. A model gives null where a series is too short for it.
 Nothing is shuffled and no Python runs per row.
 """
 
@@ -33,6 +34,12 @@ def _aicc(sse: str, n: str, k: str) -> str:
             f"+ 2 * {k} * ({k} + 1) / ({n} - {k} - 1), double('Infinity'))")
 
 
+def _widths(horizon: int, weight: str) -> str:
+    """Widths from the weight that an error keeps ``j`` months later: root of one plus the summed squares."""
+    return (f"transform(sequence(1, {horizon}), h -> sqrt(1 + aggregate(filter(sequence(1, {horizon}), j -> j < h), 0D, "
+            f"(s, j) -> s + power({weight}, 2))))")
+
+
 # naive and means -------------------------------------------------------------------
 
 def seasonal_naive(df: DataFrame, horizon: int = HORIZON, name: str = "seasonal_naive") -> DataFrame:
@@ -45,6 +52,7 @@ def seasonal_naive(df: DataFrame, horizon: int = HORIZON, name: str = "seasonal_
         f"{name}_res": F.expr(f"""
             if(n > {SEASON}, transform(sequence({SEASON}, n - 1), i -> ys[i] - ys[i - {SEASON}]),
                transform(slice(ys, 2, n), (y, i) -> y - ys[i]))"""),
+        f"{name}_wid": F.expr(f"transform(sequence(1, {horizon}), h -> sqrt(floor((h - 1) / {SEASON}) + 1D))"),
     })
 
 
@@ -59,6 +67,7 @@ def seasonal_mean(df: DataFrame, horizon: int = HORIZON, name: str = "seasonal_m
         f"{name}_res": F.expr(f"""
             transform(ys, (y, i) -> y - transform(array(filter(ys, (v, j) -> (i - j) % {SEASON} = 0)), q ->
               {mean('q')})[0])"""),
+        f"{name}_wid": F.expr(f"array_repeat(1D, {horizon})"),
     })
 
 
@@ -133,7 +142,14 @@ def ets(df: DataFrame, horizon: int = HORIZON, name: str = "ets", level_only: bo
     fc = values("p", False) if level_only else f"if({use_s}, {values('s', True)}, {values('p', False)})"
     res = "_pf.res" if level_only else f"if({use_s}, _sf.res, _pf.res)"
     hidden = [f"_{t}{x}" for t in "ps" for x in ("", "g", "f")]
-    out = out.withColumns({f"{name}_fc": F.expr(fc), f"{name}_res": F.expr(res)})
+
+    def widths(tag):
+        g = f"_{tag}g"
+        damp = f"if({g}.phi = 1, cast(j as double), {g}.phi * (1 - power({g}.phi, j)) / (1 - {g}.phi))"
+        return _widths(horizon, f"{g}.a + {g}.b * {damp} + if(j % {m} = 0, {g}.c, 0D)")
+
+    wid = widths("p") if level_only else f"if({use_s}, {widths('s')}, {widths('p')})"
+    out = out.withColumns({f"{name}_fc": F.expr(fc), f"{name}_res": F.expr(res), f"{name}_wid": F.expr(wid)})
     if level_only:
         out = out.withColumn(f"{name}_alpha", F.expr("_pg.a"))
     return out.drop(*hidden)
@@ -189,8 +205,18 @@ def ces(df: DataFrame, horizon: int = HORIZON, name: str = "ces") -> DataFrame:
                           ("'out', cast(array() as array<double>)", "'out', array_append(st.out, st.l[0])"))
         out = out.withColumn(f"_{tag}o", F.expr(f"{ahead}.out")).drop("_l0")
     use_s = "_s is not null and _s.aicc < _p.aicc"
+    def widths(tag, every):
+        """Both states after an error of one, moved on; they show in every month or only in the error's own."""
+        g = f"_{tag}g"
+        shows = f"j % {every} = 0"
+        return f"""transform(aggregate(sequence(1, {horizon - 1}),
+            named_struct('l', {g}.a - {g}.b, 'c', {g}.a + {g}.b, 'v', array(1D)), (st, j) -> named_struct(
+              'l', if({shows}, st.l - (1 - {g}.b) * st.c, st.l), 'c', if({shows}, st.l + (1 - {g}.a) * st.c, st.c),
+              'v', array_append(st.v, element_at(st.v, -1) + if({shows}, st.l * st.l, 0D)))).v, v -> sqrt(v))"""
+
     out = out.withColumns({
-        f"{name}_fc": F.expr(f"if({use_s}, _so, _po)"), f"{name}_res": F.expr(f"if({use_s}, _sf.res, _pf.res)")})
+        f"{name}_fc": F.expr(f"if({use_s}, _so, _po)"), f"{name}_res": F.expr(f"if({use_s}, _sf.res, _pf.res)"),
+        f"{name}_wid": F.expr(f"if({use_s}, {widths('s', m)}, {widths('p', 1)})") if horizon > 1 else F.array(F.lit(1.0))})
     return out.drop(*[f"_{t}{x}" for t in "ps" for x in ("", "g", "f", "o")])
 
 
@@ -229,8 +255,10 @@ def _with_ar(df: DataFrame, p: int, lags: int, tag: str) -> DataFrame:
     lag2 = " - _f2 * _r2[i]" if lags > 1 else ""
     df = df.withColumn("_e", F.expr(f"transform(_r0, (v, i) -> v - _f0 - _f1 * _r1[i]{lag2})"))
     df = df.withColumn("_q", F.expr("aggregate(_e, 0D, (s, v) -> s + v * v)"))
+    # An order whose coefficients would let forecasts run away is not chosen while there is another.
+    stable = "abs(_f2) < 1 and _f2 + _f1 < 1 and _f2 - _f1 < 1"
     df = df.withColumn(f"_ar{tag}", F.struct(
-        F.expr(_aicc("_q", "size(_e)", str(p + 2))).alias("aicc"), F.lit(p).alias("p"),
+        F.expr(f"if({stable}, {_aicc('_q', 'size(_e)', str(p + 2))}, double('Infinity'))").alias("aicc"), F.lit(p).alias("p"),
         F.col("_f0").alias("f0"), F.col("_f1").alias("f1"), F.col("_f2").alias("f2"), F.col("_e").alias("res")))
     hidden = [f"_{c}{i}" for c in "rmx" for i in range(3)] + ["_f0", "_f1", "_f2", "_e", "_q"]
     return df.drop(*hidden)
@@ -252,9 +280,17 @@ def sar(df: DataFrame, horizon: int = HORIZON, name: str = "sar", orders: tuple[
             'z1', z, 'z2', st.z1,
             'out', array_append(st.out, z + if(h <= {m}, ys[n - {m} + h - 1], get(st.out, h - {m + 1})))))[0],
           st -> st.out)"""
+    # Weights of an error in the yearly differences, added to its weight a year before.
+    widths = f"""
+        transform(aggregate(sequence(1, {horizon - 1}),
+          named_struct('p1', 1D, 'p2', 0D, 'w', array(1D), 'v', array(1D)), (st, j) -> transform(array(
+            _ar.f1 * st.p1 + _ar.f2 * st.p2), p -> transform(array(p + coalesce(get(st.w, j - {m}), 0D)), w -> named_struct(
+              'p1', p, 'p2', st.p1, 'w', array_append(st.w, w),
+              'v', array_append(st.v, element_at(st.v, -1) + w * w)))[0])[0]).v, v -> sqrt(v))"""
     df = df.withColumns({
         f"{name}_fc": F.expr(f"if(_z is not null, {ahead}, null)"),
-        f"{name}_res": F.expr("if(_z is not null, _ar.res, null)")})
+        f"{name}_res": F.expr("if(_z is not null, _ar.res, null)"),
+        f"{name}_wid": F.expr(f"if(_z is not null, {widths}, null)") if horizon > 1 else F.array(F.lit(1.0))})
     return df.drop("_z", "_ar", *[f"_ar{p}" for p in orders])
 
 
@@ -268,27 +304,31 @@ FALLBACK = "seasonal_naive"
 
 
 def fit_models(dense: DataFrame, models: dict[str, Model], horizon: int = HORIZON) -> DataFrame:
-    """Add forecasts and errors of all models; a model without a forecast takes the naive one's."""
+    """Add forecasts, errors and widths of all models; a model without a forecast takes the naive one's, and ``<name>_used``
+    says so."""
     df = dense
     todo = dict(models)
     todo.setdefault(FALLBACK, seasonal_naive)
     for name, model in todo.items():
         df = model(df, horizon, name)
-    return df.withColumns({
+    used = {f"{m}_used": F.when(F.col(f"{m}_fc").isNull(), FALLBACK).otherwise(m) for m in models}
+    return df.withColumns(used).withColumns({
         f"{m}_{part}": F.coalesce(f"{m}_{part}", f"{FALLBACK}_{part}")
-        for m in models if m != FALLBACK for part in ("fc", "res")})
+        for m in models if m != FALLBACK for part in ("fc", "res", "wid")})
 
 
 def forecasts_long(fitted: DataFrame, models: list[str], keys: list[str] = KEYS) -> DataFrame:
-    """(keys, model, h, ds, yhat, sigma)."""
+    """(keys, model, h, ds, yhat, sigma, width, used): sigma is the error of one step, width its factor for step h, used the model
+    that the forecast is really from."""
     rows = F.array(*[
-        F.struct(F.lit(m).alias("model"), F.col(f"{m}_fc").alias("fc"), F.expr(
+        F.struct(F.lit(m).alias("model"), F.col(f"{m}_used").alias("used"), F.col(f"{m}_fc").alias("fc"), F.col(f"{m}_wid").alias("wid"), F.expr(
             f"sqrt(aggregate({m}_res, 0D, (s, v) -> s + v * v) / nullif(size({m}_res), 0))").alias("sigma"))
         for m in models])
     df = fitted.select(*keys, "last", F.inline(rows))
-    df = df.select(*keys, "last", "model", "sigma", F.posexplode("fc").alias("i", "yhat"))
+    df = df.select(*keys, "last", "model", "used", "sigma", "wid", F.posexplode("fc").alias("i", "yhat"))
     h = F.col("i") + 1
-    return df.select(*keys, "model", h.cast("bigint").alias("h"), F.add_months("last", h).alias("ds"), "yhat", "sigma")
+    return df.select(*keys, "model", h.cast("bigint").alias("h"), F.add_months("last", h).alias("ds"), "yhat", "sigma",
+                     F.get("wid", F.col("i")).alias("width"), "used")
 
 
 def residuals_long(fitted: DataFrame, model: str, keys: list[str] = KEYS) -> DataFrame:

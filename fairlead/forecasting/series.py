@@ -30,6 +30,7 @@ def split_key(df: DataFrame, dims: list[str] = DIMS) -> DataFrame:
 
 
 def _prefix(n: int) -> Column:
+    """The key's first parts; separators within a part are written otherwise, see ``series_key``."""
     return F.concat_ws("/", F.slice(F.split("unique_id", "/"), 1, n))
 
 
@@ -75,10 +76,10 @@ def bottom_only(df: DataFrame, dims: list[str] = DIMS) -> DataFrame:
 def series_arrays(series: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One row per series with its points ``pts`` (array of ds, y) in time order.
 
-    The explicit partition count keeps the model work spread over all cores: the rows are small but
-    what is done with each is not.
+    The rows are small but the model work on each is not, so they keep the session's shuffle partitions: adaptive execution
+    would join them by their bytes.
     """
-    n = series.sparkSession.sparkContext.defaultParallelism
+    n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         series.repartition(n, *keys).groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("pts"))
@@ -96,11 +97,13 @@ def at_cutoffs(arrays: DataFrame, cutoffs: list[str]) -> DataFrame:
 def densify(arrays: DataFrame, until: Column | str) -> DataFrame:
     """Add ``ys``: a value for every month from the first point to ``until``, with its length ``n``.
 
-    Gaps take the mean of the same calendar month, else the mean of the series.
+    Gaps take the mean of the same calendar month, else the mean of the series. Points after ``until`` are not
+    known yet and are dropped; series that have no others are left out, ``late_series`` names them.
     """
     until = F.lit(until).cast("date") if isinstance(until, str) else until
-    df = arrays.withColumns({
-        "last": until,
+    df = arrays.withColumn("last", until)
+    df = df.withColumn("pts", F.expr("filter(pts, p -> p.ds <= last)")).where(F.size("pts") > 0)
+    df = df.withColumns({
         "_known": F.map_from_entries("pts"),
         "_mean": F.expr("aggregate(pts, 0D, (s, p) -> s + p.y) / size(pts)"),
         "_month": F.expr("""
@@ -113,6 +116,12 @@ def densify(arrays: DataFrame, until: Column | str) -> DataFrame:
     return df.withColumn("n", F.size("ys")).drop("_known", "_mean", "_month")
 
 
+def late_series(series: DataFrame, until: str, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, first): series whose first point is after ``until``; they get no forecast."""
+    first = series.groupBy(*keys).agg(F.min("ds").alias("first"))
+    return first.where(F.col("first") > F.lit(until).cast("date"))
+
+
 def dense_grid(series: DataFrame, until: str, keys: list[str] = KEYS) -> DataFrame:
     """Dense series in long form, telling which months were filled."""
     df = densify(series_arrays(series, keys), until)

@@ -101,11 +101,15 @@ def is_peak(d: Column | str, trade: Column | str, table: dict[str, list[int]] =
 # series keys --------------------------------------------------------------
 
 def series_key(*dims: str) -> Column:
-    return F.concat_ws("/", *(dims or DIMS))
+    """The parts joined by "/". A "/" or "%" within a part is written as %2F or %25 and a null part as %0, so every key
+    splits into the parts it was made of."""
+    part = lambda d: F.coalesce(F.replace(F.replace(F.col(d), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("%0"))
+    return F.concat_ws("/", *[part(d) for d in dims or DIMS])
 
 
 def key_part(key: Column | str, i: int) -> Column:
-    return F.get(F.split(col(key), "/"), i)
+    part = F.get(F.split(col(key), "/"), i)
+    return F.when(part != "%0", F.replace(F.replace(part, F.lit("%2F"), F.lit("/")), F.lit("%25"), F.lit("%")))
 
 
 def key_depth(key: Column | str) -> Column:

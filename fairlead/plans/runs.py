@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.constants import DIMS, FALLBACK_BANDS, HORIZON, RATES
-from fairlead.forecasting.evaluate import best_model, gaussian_interval, model_mae, rolling_origin_errors
+from fairlead.forecasting.evaluate import best_model, model_interval, model_mae, rolling_origin_errors
 from fairlead.forecasting.models import MODELS, Model, fit_models, forecasts_long, residuals_long
 from fairlead.forecasting.reconcile import bottom_up, reconcile
 from fairlead.forecasting.series import (
@@ -45,7 +45,9 @@ def assemble_forecast(forecasts: DataFrame, medians: DataFrame, run_id: str, as_
         cells += [mine("yhat").alias(f"{column}_fcst"), mine("lo").alias(f"{column}_lo80"),
                   mine("hi").alias(f"{column}_hi80"), mine("model").alias(model)]
     rows = kept.groupBy("unique_id", "ds", "horizon_month").agg(*cells).where(F.col("model_lf").isNotNull())
-    rows = split_key(rows).join(medians, DIMS, "left")
+    rows = split_key(rows)
+    same = F.expr(" and ".join(f"{d} <=> _{d}" for d in DIMS))
+    rows = rows.join(medians.withColumnsRenamed({d: f"_{d}" for d in DIMS}), same, "left").drop(*[f"_{d}" for d in DIMS])
     rows = rows.withColumns({
         "run_id": F.lit(run_id), "run_ts": F.lit(run_ts).cast("timestamp_ntz") if run_ts else F.localtimestamp(),
         "forecast_date": F.col("ds")})
@@ -60,14 +62,17 @@ def month_before(as_of: str, months: int) -> str:
 
 def run_forecast(monthly: DataFrame, run_id: str, as_of: str, horizon: int = HORIZON,
                  models: dict[str, Model] = MODELS, method: str = "mint_shrink",
-                 cutoff_months: tuple[int, ...] = (13, 7), run_ts: str | None = None) -> DataFrame:
+                 cutoff_months: tuple[int, ...] = (13, 7), run_ts: str | None = None,
+                 level: float = 0.8) -> DataFrame:
     """One forecast run: bottom series, all levels, all models, model choice, reconciliation, result rows.
 
     Gaps are filled at the bottom before adding up, so that sums hold in every month. The model of
-    a driver is the one with the lowest error over held-out months.
+    a driver is the one with the lowest error over held-out months; a series too short for it names the model it really got.
+    The interval columns hold the interval at ``level``, whatever their names say. Runs jobs while it is called.
     """
     last = month_before(as_of, 1)
-    monthly = settle(monthly, "monthly")
+    # What is not known at ``as_of`` must not reach a model.
+    monthly = settle(monthly.where(F.col("month") <= F.lit(last).cast("date")), "monthly")
     bottom = settle(dense_grid(series_long(monthly), last).select("driver", "unique_id", "ds", "y"), "bottom")
     levels = settle(rollup_series(bottom), "levels")
     summing = settle(summing_table(bottom), "summing")
@@ -77,7 +82,8 @@ def run_forecast(monthly: DataFrame, run_id: str, as_of: str, horizon: int = HOR
     choice = F.broadcast(settle(best_model(model_mae(errors), list(models)).select("driver", "model"), "choice"))
     fitted = fit_models(densify(series_arrays(levels), last), models, horizon)
     fitted = settle(fitted.drop("pts", "ys"), "fitted")
-    best = gaussian_interval(forecasts_long(fitted, list(models)).join(choice, ["driver", "model"]))
+    best = model_interval(forecasts_long(fitted, list(models)).join(choice, ["driver", "model"]), level)
+    best = best.withColumn("model", F.col("used"))
     if method == "bottom_up":
         coherent = bottom_up(bottom_only(best), summing)
     elif method == "mint_shrink":

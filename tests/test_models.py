@@ -154,3 +154,50 @@ def test_custom_model(spark):
     from fairlead.catalog.forecasting import drift
     rows = M.custom_model(frame(spark, ("a", [1.0, 2.0, 3.0])), drift).orderBy("h").collect()
     assert rows[0].yhat == 4.0 and rows[11].ds == month(14)
+
+
+def test_the_future_stays_unknown(spark):
+    df = frame(spark, ("a", [1.0] * 67 + [8.0, 9.0]))
+    df = df.unionByName(frame(spark, ("late", [5.0] * 69), skip={("late", k) for k in range(68)}))
+    until = "2000-07-01"  # month 66
+    got = fitted(spark, df, until, M.seasonal_naive, "m")
+    assert set(got) == {"a"} and got["a"].m_fc == [1.0] * 12
+    assert [(r.unique_id, r["first"]) for r in S.late_series(df, until).collect()] == [("late", month(68))]
+    assert {r.unique_id for r in S.dense_grid(df, until).collect()} == {"a"}
+
+
+def test_widths_match_simulated_impulses(spark):
+    """An error of one in the last month moves each later forecast by its weight; widths add up the squares."""
+    ys = wave(60, seed=4)
+    horizon = 26
+    def row(model, name, values):
+        df = S.densify(S.series_arrays(frame(spark, ("a", values))), month(len(values) - 1).isoformat())
+        return model(df, horizon, name).first()
+    naive = row(M.seasonal_naive, "m", ys)
+    assert naive.m_wid == pytest.approx([np.sqrt(h // 12 + 1) for h in range(horizon)])
+    sar = row(M.sar1, "m", ys)
+    z = np.array(ys[12:]) - np.array(ys[:-12])
+    a, b = z[:-1] - z[:-1].mean(), z[1:] - z[1:].mean()
+    f1 = a @ b / (a @ a)
+    w = []
+    for j in range(horizon):
+        w.append(f1**j + (w[j - 12] if j >= 12 else 0.0))
+    assert sar.m_wid == pytest.approx(np.sqrt(np.cumsum(np.square(w))))
+    level = row(M.ets_level, "m", ys)
+    assert level.m_wid == pytest.approx([np.sqrt(1 + h * level.m_alpha**2) for h in range(horizon)])
+    for model in (M.ets, M.ces):
+        wid = row(model, "m", ys).m_wid
+        assert len(wid) == horizon and wid[0] == 1 and all(x <= y for x, y in zip(wid, wid[1:]))
+
+
+def test_interval_levels(spark):
+    df = spark.createDataFrame([(10.0, 2.0, 1.5)], "yhat double, sigma double, width double")
+    for level, z in ((0.8, 1.2815515655), (0.95, 1.9599639845)):
+        r = E.model_interval(df, level).first()
+        assert (r.lo, r.hi) == pytest.approx((10 - 3 * z, 10 + 3 * z))
+
+
+def test_running_away_orders_are_not_chosen(spark):
+    ys = 10 + 1.12 ** np.arange(60)
+    got = fitted(spark, frame(spark, ("a", ys)), month(59).isoformat(), M.sar, "m")["a"]
+    assert max(np.abs(np.diff(got.m_fc))) < 10 * max(np.abs(np.diff(ys)))

@@ -41,6 +41,21 @@ def test_run_gives_a_row_per_series_and_month(spark, method):
         assert r.model_lf in models and r.discount_rate_base == pytest.approx(0.1)
 
 
+def test_odd_names_and_future_months(spark):
+    """Separators in a name lose no series, months after ``as_of`` change nothing, a short series names its real model."""
+    df = monthly(spark).withColumn("trade", F.when(F.col("ship_class") == "2", "Al/ska%").otherwise("T"))
+    df = df.where("ship_class <> '2' or month >= '1999-12-01'")
+    models = {"sar": M.sar}
+    rows = run_forecast(df, "r1", "2000-05-01", models=models, method="bottom_up", level=0.95).collect()
+    assert len(rows) == 36 and {r.trade for r in rows} == {"T", "Al/ska%"}
+    assert {r.model_lf for r in rows if r.trade == "T"} == {"sar"} and {r.model_lf for r in rows if r.trade != "T"} == {"seasonal_naive"}
+    assert all(r.discount_rate_base == pytest.approx(0.1) for r in rows)
+    later = df.unionByName(df.withColumn("month", F.expr("add_months(month, 40)")).withColumn("load_factor", F.lit(99.0)))
+    again = run_forecast(later, "r1", "2000-05-01", models=models, method="bottom_up", level=0.95).collect()
+    key = lambda r: (r.brand, r.trade, r.ship_class, r.forecast_date)
+    assert {key(r): r.load_factor_fcst for r in again} == pytest.approx({key(r): r.load_factor_fcst for r in rows})
+
+
 def test_assembly_bands_horizon_and_missing_driver(spark):
     fc = spark.createDataFrame(
         [("load_factor", "A/T/1", dt.date(2000, m, 1), 1.0, "m") for m in (4, 5, 6)]
