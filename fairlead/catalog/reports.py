@@ -11,14 +11,14 @@ from fairlead.functions import scalar as S
 from fairlead.operators import reports as R
 from fairlead.operators.baseline import baseline_forecast
 from fairlead.operators.waterfall import waterfall_steps
-from fairlead.sources.standin import future, history, history_and_future
+from fairlead.sources.standin import future, history
 
 BRANDS, TRADES = ["AMERICA", "ASIA", "EUROPE"], ["1-URGENT", "2-HIGH", "5-LOW"]
 _IN = "brand in ('AMERICA', 'ASIA', 'EUROPE') and trade in ('1-URGENT', '2-HIGH', '5-LOW')"
 
 
 def both(spark, sf_dir):
-    hist, fut = history_and_future(spark, sf_dir)
+    hist, fut = history(spark, sf_dir), future(spark, sf_dir)
     return hist, baseline_forecast(hist, fut)
 
 

@@ -13,7 +13,7 @@ from fairlead.operators import scenario as X
 from fairlead.operators.baseline import baseline_forecast
 from fairlead.operators.drivers import driver_stats
 from fairlead.session import settle
-from fairlead.sources.standin import AS_OF, history_and_future, scenarios
+from fairlead.sources.standin import AS_OF, future, history, scenarios
 
 # The analyst's edits used in the queries: assumption = baseline mean times factor, rounded.
 EDITS = {"load_factor": 1.03, "gross_fare_per_diem": 1.05, "discount_rate": 0.9}
@@ -21,7 +21,7 @@ EDITS = {"load_factor": 1.03, "gross_fare_per_diem": 1.05, "discount_rate": 0.9}
 
 def setup(spark, sf_dir, edits=EDITS):
     """Profile of the schedule and the input table; both small, each computed once."""
-    hist, fut = history_and_future(spark, sf_dir)
+    hist, fut = history(spark, sf_dir), future(spark, sf_dir)
     fc = baseline_forecast(hist, fut)
     profile = settle(X.schedule_profile(fc), "profile")
     return fc, profile, settle(X.driver_inputs(driver_stats(hist), profile, edits), "inputs")

@@ -192,8 +192,8 @@ def draw_sets(inputs: DataFrame, n: int = SIMULATIONS) -> DataFrame:
 
 def monte_carlo(rows: DataFrame, inputs: DataFrame, n: int = SIMULATIONS) -> DataFrame:
     """Net revenue in millions of every draw; ``rows`` is a profile or single sailings."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    spread = rows.repartition(cores, "lower_berth_capacity", "itinerary_length", "agency_share", "taxes")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartition(parts, "lower_berth_capacity", "itinerary_length", "agency_share", "taxes")
     return net_of_sets(spread, draw_sets(inputs, n)).select(
         F.col("set_id").alias("draw_id"), (F.col("net") / 1e6).alias("ntr_m"))
 
@@ -269,15 +269,22 @@ def override_profile(forecast: DataFrame) -> DataFrame:
         F.sum("net_ticket_revenue").alias("net"), *[F.sum(v).alias(k) for k, v in sums.items()])
 
 
+#: Capacities of the profile that travel together.
+PROFILE_BLOCK = 1000
+
+
 def scenario_batch(scenarios: DataFrame, forecast: DataFrame) -> DataFrame:
     """Net revenue in millions of every saved scenario over the whole schedule.
 
-    The schedule is read once. Its profile has one row per capacity (a whole number of berths), which
-    meets each scenario as one array; scenarios stay distributed, however many there are.
+    The schedule is read once. Its profile has one row per capacity (a whole number of berths). It is packed into blocks of about
+    PROFILE_BLOCK capacities, and each scenario meets each block by a join; no array grows with the data, and scenarios stay
+    distributed, however many there are.
     """
     profile = settle(override_profile(forecast), "profile")
-    packed = profile.select(F.collect_list(F.struct("*"))).scalar()
-    rows = scenarios.withColumn("_rows", packed)
+    blocks = max(1, -(-profile.count() // PROFILE_BLOCK))
+    packed = profile.groupBy(F.pmod(F.xxhash64("lower_berth_capacity"), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct(*profile.columns)).alias("_rows"))
+    rows = scenarios.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(packed, "_block")
     rows = rows.select(*scenarios.columns, F.explode("_rows").alias("s"))
     o = {d: F.col(c) for d, c in OVERRIDE_COLUMNS.items()}
     lf = o["load_factor"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.scalar import floor_round_sql, season
 from fairlead.operators.waterfall import waterfall
-from fairlead.session import settle
 from fairlead.sources.schemas import SCHEDULE_COLUMNS
 
 AS_OF = "2000-08-01"
@@ -26,15 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_totals(lines: DataFrame) -> DataFrame:
     """Totals of the lines of an order, added up in whole cents and hundredths.
 
     Whole numbers give the same total in any order of summation and stay in generated code.
     """
     hundredths = lambda c: F.floor(F.col(c) * 100.0 + 0.5)
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey")
+        lines.groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("n_lines"),
             F.sum("l_quantity").alias("qty"),
@@ -52,6 +52,11 @@ def facts(spark: SparkSession, sf_dir: str, start: str | None = None, end: str |
         orders = orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
     if end:
         orders = orders.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
+    lines = table(spark, sf_dir, "lineitem")
+    if start:
+        # A range with a beginning wants few of the lines: those of other orders go before the shuffle where the wanted
+        # keys are small enough to broadcast, and by a filter on them where they are not.
+        lines = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     places = (
         table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -62,7 +67,7 @@ def facts(spark: SparkSession, sf_dir: str, start: str | None = None, end: str |
     # customer join, whose keys may be skewed, follows on rows that are already small.
     joined = (
         orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
-        .join(_line_totals(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .join(_line_totals(lines), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(places, F.col("o_custkey") == F.col("c_custkey"))
     )
     length = "(o_orderkey % 12 + 3)"
@@ -108,9 +113,10 @@ def _calendar():
 
 
 def _months_later(day: str, months: int) -> str:
+    """The same day of a later month, or its last day where it has no such day."""
     y, m, d = (int(x) for x in day.split("-"))
-    k = y * 12 + m - 1 + months
-    return f"{k // 12:04d}-{k % 12 + 1:02d}-{d:02d}"
+    year, month = divmod(y * 12 + m - 1 + months, 12)
+    return f"{year:04d}-{month + 1:02d}-{min(d, monthrange(year, month + 1)[1]):02d}"
 
 
 def history(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
@@ -123,14 +129,6 @@ def future(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, months: int = 1
     return as_schedule(facts(spark, sf_dir, start=as_of, end=_months_later(as_of, months)))
 
 
-def history_and_future(spark: SparkSession, sf_dir: str, as_of: str = AS_OF, months: int = 12) -> tuple[DataFrame, DataFrame]:
-    """Both, from one written table: for jobs that read the history more than once."""
-    known = settle(facts(spark, sf_dir, end=_months_later(as_of, months)), "sailings")
-    departs = F.col("departure_date")
-    day = F.lit(as_of).cast("date")
-    return as_history(known.where(departs < day)), as_schedule(known.where(departs >= day))
-
-
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scenario per nation, with none to all of the six overrides set."""
     k = F.col("n_nationkey")
