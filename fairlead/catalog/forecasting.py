@@ -20,6 +20,7 @@ from fairlead.plans.runs import assemble_forecast, baseline_view, month_before,
 from fairlead.plans.sqlsurface import register_functions, register_views
 from fairlead.session import fresh_path, settle
 from fairlead.sources import schemas, store
+from fairlead.sources.sailings import read_history
 from fairlead.sources.standin import AS_OF, facts, future, history, scenarios
 
 LAST = month_before(AS_OF, 1)
@@ -198,19 +199,19 @@ def q_lag(spark, sf_dir):
 
 @query("fc_seasonal_naive", with_ctes("monthly", f"select driver, unique_id, h, ds, {rc('yhat')} from sn", _FINAL))
 def q_naive(spark, sf_dir):
-    return shown(naive(spark, sf_dir).drop("model", "sigma"))
+    return shown(naive(spark, sf_dir).drop("model", "sigma", "width", "used"))
 
 
 @query("fc_seasonal_mean", with_ctes("monthly", f"select driver, unique_id, h, ds, {rc('yhat')} from sm", _FINAL))
 def q_mean(spark, sf_dir):
     fitted = M.fit_models(final_arrays(spark, sf_dir), {"seasonal_mean": M.seasonal_mean})
-    return shown(M.forecasts_long(fitted, ["seasonal_mean"]).drop("model", "sigma"))
+    return shown(M.forecasts_long(fitted, ["seasonal_mean"]).drop("model", "sigma", "width", "used"))
 
 
 @query("fc_sar1", with_ctes("monthly", f"select driver, unique_id, h, ds, {rc('yhat')} from sr", _FINAL))
 def q_sar1(spark, sf_dir):
     fitted = M.fit_models(final_arrays(spark, sf_dir), {"sar1": M.sar1})
-    return shown(M.forecasts_long(fitted, ["sar1"]).drop("model", "sigma"))
+    return shown(M.forecasts_long(fitted, ["sar1"]).drop("model", "sigma", "width", "used"))
 
 
 @query("fc_ets_level", "with recursive " + with_ctes("monthly", f"""
@@ -223,14 +224,14 @@ walk(driver, unique_id, i, n, a, l, sse) as (
   join dn d on d.driver = w.driver and d.unique_id = w.unique_id and d.i = w.i+1)""")[len("with "):])
 def q_ets_level(spark, sf_dir):
     fitted = M.fit_models(final_arrays(spark, sf_dir), {"ets_level": M.ets_level})
-    return shown(M.forecasts_long(fitted, ["ets_level"]).drop("model", "sigma"))
+    return shown(M.forecasts_long(fitted, ["ets_level"]).drop("model", "sigma", "width", "used"))
 
 
 def _auto(name, model):
     @query(name)
     def q(spark, sf_dir):
         fitted = M.fit_models(final_arrays(spark, sf_dir), {"auto": model})
-        return shown(M.forecasts_long(fitted, ["auto"]).drop("model"))
+        return shown(M.forecasts_long(fitted, ["auto"]).drop("model", "width", "used"))
 
 
 _auto("fc_ets_auto", M.ets)
@@ -268,7 +269,7 @@ select driver, unique_id, h, ds, {rc('yhat')}, {r('yhat-1.2815515655446004::doub
   {r('yhat+1.2815515655446004::double*sigma*sqrt(floor((h-1)/12)+1)')} as hi
 from sn left join sg using (driver, unique_id)""", _FINAL + ",\n" + _SIGMA))
 def q_gauss(spark, sf_dir):
-    return shown(E.gaussian_interval(naive(spark, sf_dir)).drop("model", "sigma"))
+    return shown(E.gaussian_interval(naive(spark, sf_dir)).drop("model", "sigma", "width", "used"))
 
 
 _CONF = _CV + f""",
@@ -288,13 +289,13 @@ def q_conformal(spark, sf_dir):
     errors = E.rolling_origin_errors(s, M.SIMPLE_MODELS, CUTOFFS, CV_HORIZON)
     fitted = M.fit_models(S.densify(S.series_arrays(s), LAST), {"seasonal_naive": M.seasonal_naive})
     fc = M.forecasts_long(fitted, ["seasonal_naive"])
-    return shown(E.conformal_interval(fc, errors).drop("model", "sigma"))
+    return shown(E.conformal_interval(fc, errors).drop("model", "sigma", "width", "used"))
 
 
 @query("forecast_errors", with_ctes("monthly", f"""
 select driver, unique_id, cutoff, model, h, ds, {rc('yhat')}, {rc('y')}, {rc('error')} from err""", _CV))
 def q_errors(spark, sf_dir):
-    return shown(cv_errors(spark, sf_dir).drop("sigma"))
+    return shown(cv_errors(spark, sf_dir).drop("sigma", "width", "used"))
 
 
 @query("model_mae", with_ctes("monthly", f"select driver, model, {rc('mae')} from mm2", _CV))
@@ -502,10 +503,12 @@ def q_waterfall_summary(spark, sf_dir):
 
 @query("uncovered_sailings", with_ctes("monthly future", f"""
 select sailing_id, brand, trade, ship_class, {month('departure_date')} as forecast_month from future f
-where not exists (select 1 from res where res.brand = f.brand and res.trade = f.trade and res.ship_class = f.ship_class
+where not exists (select 1 from res where res.brand <> 'ASIA' and horizon_month <= 6 and res.brand = f.brand and res.trade = f.trade and res.ship_class = f.ship_class
   and res.forecast_date = {month('departure_date')})""", _RES))
 def q_uncovered(spark, sf_dir):
-    df = uncovered_sailings(future(spark, sf_dir), stored_results(spark, sf_dir))
+    # A run without one brand and with half the horizon, so that there is something to report.
+    part = stored_results(spark, sf_dir).where("brand <> 'ASIA' and horizon_month <= 6")
+    df = uncovered_sailings(future(spark, sf_dir), part)
     return df.select("sailing_id", *DIMS, "forecast_month")
 
 
@@ -585,3 +588,18 @@ def q_writeback(spark, sf_dir):
     return saved.select("scenario_name", (F.length("scenario_id") == 36).alias("has_id"),
                         F.col("created_at").isNotNull().alias("has_time"),
                         X.floor_round("load_factor_override", 6).alias("load_factor_override"))
+
+
+# stored sailings ----------------------------------------------------------------------------------
+
+_HIST_COLUMNS = ", ".join(rc(f.name, 2) if f.dataType.typeName() == "double" and f.name.endswith("revenue") else
+                          rc(f.name) if f.dataType.typeName() == "double" else f.name for f in schemas.HISTORY.fields)
+
+
+@query("clustered_read", with_ctes("hist", f"""
+select {_HIST_COLUMNS} from hist where departure_date >= date '1998-02-10' and departure_date < date '1998-05-03'
+  and brand in ('ASIA', 'EUROPE') and trade = '1-URGENT'"""))
+def q_clustered(spark, sf_dir):
+    path = fresh_path(spark, "sailings")
+    store.write_clustered(history(spark, sf_dir).select(*schemas.HISTORY.fieldNames()), path)
+    return shown(read_history(spark, path, "1998-02-10", "1998-05-03", ["ASIA", "EUROPE"], ["1-URGENT"]).drop("_loaded_at"))

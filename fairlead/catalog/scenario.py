@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fairlead.catalog.base import forecast, shown
 from fairlead.catalog.drivers import _STATS
+from fairlead.catalog.forecasting import _VIEW, view
 from fairlead.catalog.registry import query
 from fairlead.catalog.sqltext import fr, r, rc, with_ctes
 from fairlead.constants import ALL_DRIVERS, AMOUNTS, OVERRIDABLE, OVERRIDE_COLUMNS
@@ -220,11 +221,14 @@ _PICK = {d: f"coalesce({c}, {d})" for d, c in OVERRIDE_COLUMNS.items()}
 
 
 @query("scenario_coalesce", with_ctes("fcst", f"""
-select sailing_id, {', '.join(f'{r(e)} as {d}' for d, e in _PICK.items())}, {r(_net(**_PICK), 2)} as net_ticket_revenue
-from fcst, (select * from saved where scenario_id = 'S6')""", _SAVED))
+select scenario_id, count(*) as n, {', '.join(f'{r(f"avg({e})")} as {d}' for d, e in _PICK.items())},
+  {r(f'sum({_net(**_PICK)})', 2)} as net_ticket_revenue
+from fcst, saved group by scenario_id""", _SAVED))
 def q_coalesce(spark, sf_dir):
-    one = scenarios(spark, sf_dir).where(F.col("scenario_id") == "S6")
-    return shown(X.apply_scenario(forecast(spark, sf_dir), one).select("sailing_id", *OVERRIDABLE, "net_ticket_revenue"))
+    """Every saved scenario applied to every sailing, summed up."""
+    done = X.apply_scenarios(forecast(spark, sf_dir), scenarios(spark, sf_dir))
+    return shown(done.groupBy("scenario_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(d).alias(d) for d in OVERRIDABLE], F.sum("net_ticket_revenue").alias("net_ticket_revenue")))
 
 
 _BATCH = f"""batch as (select scenario_id, sum({_net(**_PICK)})/1e6 as n, sum(net_ticket_revenue)/1e6 as b
@@ -238,11 +242,12 @@ def q_batch(spark, sf_dir):
     return shown(X.scenario_batch(scenarios(spark, sf_dir), forecast(spark, sf_dir)), scenario_ntr_m=5, baseline_ntr_m=5)
 
 
-@query("scenario_comparison", with_ctes("fcst", f"""
-select scenario_id, scenario_name, created_at, {_OV}, {r('n', 5)} as scenario_ntr_m, {r('b', 5)} as baseline_ntr_m,
-  {r('n-b', 5)} as delta_vs_baseline_m, {r(fr('(n-b)/nullif(b, 0)*100', 1))} as pct_vs_baseline
-from saved join batch using (scenario_id) order by created_at desc""", _SAVED + ",\n" + _BATCH))
+@query("scenario_comparison", with_ctes("monthly future fcst", f"""
+select scenario_id, scenario_name, created_at, {_OV}, {r('n', 5)} as scenario_ntr_m, {r('v', 5)} as baseline_ntr_m,
+  {r('n-v', 5)} as delta_vs_baseline_m, {r(fr('(n-v)/nullif(v, 0)*100', 1))} as pct_vs_baseline
+from saved join batch using (scenario_id), (select sum(net_ticket_revenue)/1e6 as v from vw)
+order by created_at desc""", _VIEW + ",\n" + _SAVED + ",\n" + _BATCH))
 def q_comparison(spark, sf_dir):
-    fc = forecast(spark, sf_dir)
-    done = X.scenario_batch(scenarios(spark, sf_dir), fc).drop("baseline_ntr_m")
-    return shown(X.scenario_comparison(done, fc), scenario_ntr_m=5, baseline_ntr_m=5, delta_vs_baseline_m=5)
+    """Scenarios on the seasonal medians beside the total of the reporting view's latest run."""
+    done = X.scenario_batch(scenarios(spark, sf_dir), forecast(spark, sf_dir)).drop("baseline_ntr_m")
+    return shown(X.scenario_comparison(done, view(spark, sf_dir)), scenario_ntr_m=5, baseline_ntr_m=5, delta_vs_baseline_m=5)

@@ -69,6 +69,6 @@ def model_interval(forecasts: DataFrame, level: float = 0.8) -> DataFrame:
 def conformal_interval(forecasts: DataFrame, errors: DataFrame, level: float = 0.8,
                        by: tuple[str, ...] = ("driver", "unique_id", "model")) -> DataFrame:
     """Interval from the ``level`` quantile of the absolute held-out errors of each series."""
-    width = errors.groupBy(*by).agg(F.percentile(F.abs("error"), F.lit(level)).alias("width"))
+    width = errors.groupBy(*by).agg(F.percentile(F.abs("error"), F.lit(level)).alias("_half"))
     return forecasts.join(width, list(by), "left").withColumns({
-        "lo": F.col("yhat") - F.col("width"), "hi": F.col("yhat") + F.col("width")}).drop("width")
+        "lo": F.col("yhat") - F.col("_half"), "hi": F.col("yhat") + F.col("_half")}).drop("_half")

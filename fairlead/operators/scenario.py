@@ -238,6 +238,18 @@ def apply_scenario(forecast: DataFrame, scenario: DataFrame) -> DataFrame:
     return waterfall(df, picks, pax_mode="trunc").drop("_o")
 
 
+def apply_scenarios(forecast: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Waterfall of every sailing under each of a set of scenarios, with ``scenario_id``.
+
+    A row per sailing and scenario is the result that is asked for; the set is stated by the caller and goes to the
+    sailings, which stay where they are.
+    """
+    rows = scenarios.select(F.collect_list(F.struct("scenario_id", *OVERRIDE_COLUMNS.values()))).scalar()
+    df = forecast.withColumn("_o", F.explode(rows))
+    picks = {d: F.coalesce(F.col(f"_o.{o}"), F.col(d)) for d, o in OVERRIDE_COLUMNS.items()}
+    return waterfall(df, picks, pax_mode="trunc").withColumn("scenario_id", F.col("_o.scenario_id")).drop("_o")
+
+
 def _masked_sums(weight: Column) -> dict[str, Column]:
     """Sums of the net formula with overridden drivers left out, for every choice of them.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fairlead.plans.runs import baseline_view, uncovered_sailings
 from fairlead.session import fresh_path, settle, shared_folder
+from fairlead.sources.sailings import read_schedule
 from fairlead.sources import schemas, store
 
 
@@ -72,6 +73,24 @@ def test_clustered_layout_prunes(spark):
     assert one.count() == df.where(F.month("departure_date") == 3).count()
 
 
+def test_date_ranges_prune_folders_and_row_groups(spark):
+    path = fresh_path(spark, "clustered")
+    df = schedule(spark, *[(i, "AB"[i % 2], dt.date(2000, 1 + i % 12, 1 + i % 28), 100) for i in range(200)])
+    store.write_clustered(df, path)
+    got = read_schedule(spark, path, "2000-03-05", "2000-05-02", ["A"])
+    want = df.where("departure_date >= '2000-03-05' and departure_date < '2000-05-02' and brand = 'A'")
+    assert {r.sailing_id for r in got.collect()} == {r.sailing_id for r in want.collect()} and want.count() > 0
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    folders = plan.split("PartitionFilters: [")[1].split(", PushedFilters")[0]
+    pushed = plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
+    assert "departure_ym" in folders and "departure_date" in pushed and "brand" in pushed
+
+
+def test_months_later_keeps_to_the_calendar():
+    from fairlead.sources.standin import _months_later
+    assert [_months_later("2000-08-31", k) for k in (1, 6, 12, 18)] == ["2000-09-30", "2001-02-28", "2001-08-31", "2002-02-28"]
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     df = settle(spark.range(3).toDF("a"))
