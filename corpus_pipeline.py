@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fairlead.llm import bpe, decontaminate, secretscan, simhash, toxicity  # noqa: E402
-from fairlead.llm.tables import let_workers_import, table  # noqa: E402
+from fairlead.llm.tables import prepare_session, table  # noqa: E402
 from fairlead.session import settle  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,14 +27,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject."""
-    let_workers_import(spark)
+    prepare_session(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.reject(docs.select(*COLUMNS), model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; documents without an id stay."""
-    let_workers_import(spark)
+    prepare_session(spark)
     groups = settle(simhash.near_duplicates(docs), "near-duplicates")
     later = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = _without(docs.select(*COLUMNS), settle(later, "duplicate-ids"))
@@ -48,19 +48,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    let_workers_import(spark)
+    prepare_session(spark)
     return decontaminate.without_passages(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind and n_chars counted anew."""
-    let_workers_import(spark)
+    prepare_session(spark)
     return secretscan.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, their number, and the digest of the text they decode to."""
-    let_workers_import(spark)
+    prepare_session(spark)
     vocab = bpe.vocabulary()
     encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), vocab, keep_text=False)
     return bpe.decode(encoded, vocab).select(

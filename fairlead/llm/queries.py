@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm import bpe, decontaminate, langid, outliers, pii, secretscan, simhash, slots, toxicity, warc
-from fairlead.llm.tables import id_crc, let_workers_import, table
+from fairlead.llm.tables import id_crc, prepare_session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            let_workers_import(spark)
+            prepare_session(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
@@ -101,7 +101,30 @@ def op8_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(id_crc() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-@query("op9_virtual_slots")
+#: CRC-32 by its table, bytes from the hexadecimal text; then the walk over the slots, largest first.
+_SLOTS_SQL = """
+with recursive polynomial as (select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end)) as t),
+body as (select doc_id, coalesce(text, '') as text from documents),
+coded as (select doc_id, strlen(text) + 1 as size, xor(list_reduce(list_prepend(4294967295::bigint,
+    list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as text_crc32 from body, polynomial),
+placed as materialized (select *, (('0x' || substr(md5(coalesce(doc_id::varchar, 'crc ' || text_crc32)), 1, 8))::bigint % 4096)::int
+    as vslot from coded),
+totals as materialized (select s::int as vslot, coalesce(sum(size), 0)::bigint as bytes, row_number() over (
+    order by coalesce(sum(size), 0) desc, s) as k from range(4096) r(s) left join placed on vslot = s group by s),
+walk as (
+  select 0::bigint as k, list_transform(range(8), lambda i: 0::bigint) as loads, -1 as vslot, 0 as shard
+  union all
+  select t.k, list_transform(loads, lambda v, i: case when i = list_position(loads, list_min(loads)) then v + t.bytes else v end),
+    t.vslot, list_position(loads, list_min(loads))::int - 1
+  from walk w join totals t on t.k = w.k + 1)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (
+    partition by shard order by vslot, doc_id nulls first, text_crc32, size) - 1 as slot, null::int as grown_shard, vslot
+from placed join walk using (vslot)"""
+
+
+@query("op9_virtual_slots", _SLOTS_SQL)
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
     return slots.shard_documents(table(spark, sf_dir, "documents"), shards=8, slots=4096).select(

@@ -28,11 +28,15 @@ def id_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def let_workers_import(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package when only the driver's path has it.
+def prepare_session(spark: SparkSession) -> None:
+    """Settings for operators that run Python on the executors.
 
-    On a cluster the package is installed or sent with --py-files; the extra path then does nothing.
+    Rows reach Python in batches bounded by rows and bytes, so that memory follows neither long texts nor large partitions.
+    On this machine workers may import the package when only the driver's path has it; on a cluster the package is installed
+    or sent with --py-files.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]

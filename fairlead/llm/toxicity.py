@@ -103,6 +103,10 @@ OUTPUTS = ("insult", "insult+", "insult-", "insult~", "threat", "threat+", "thre
 IN_CLAUSE = dict(zip(OUTPUTS, (1.0, 1.5, 0.2, 0.4, 0.5, 1.5, 0.1, 0.2, 0.5)))
 
 
+#: What a word of no class is.
+PLAIN = (0, 0.0)
+
+
 class Lexicon(dict):
     """(class number, weight) of lower-case words; learned stems match the beginning of a word. Forgets when it has grown large."""
 
@@ -115,14 +119,14 @@ class Lexicon(dict):
             self.fixed |= {w: (CLASSES.index(name), 1.0) for w in words.split()}
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         code, weight = self.fixed.get(word, (0, 0.0))
         for n in self.lengths:
             if len(word) >= n and (w := self.stems.get(word[:n])) is not None:
                 code, weight = (code if code >= MARKED else MARKED), max(weight, w)
-        self[word] = code, weight
-        return code, weight
+        found = self[word] = (code, weight) if code else PLAIN
+        return found
 
 
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:

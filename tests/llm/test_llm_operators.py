@@ -21,7 +21,7 @@ WORDS = "the of and to in is was for that with on are by from this have not but
 
 @pytest.fixture(scope="module", autouse=True)
 def importable(spark):
-    tables.let_workers_import(spark)
+    tables.prepare_session(spark)
 
 
 def prose(rng, n):

@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 
 
 def test_pipeline_matches_plain_stages(spark):
-    tables.let_workers_import(spark)
+    tables.prepare_session(spark)
     docs = tables.table(spark, SF, "documents")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     model = toxicity.fit(docs, tables.table(spark, SF, "labels"))
