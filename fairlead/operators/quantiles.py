@@ -1,10 +1,11 @@
 """Exact quantiles of large and unevenly sized groups.
 
 ``percentile`` keeps every distinct value of a group in one task. That is fine where a group holds
-one row per month, but a group of sailings may hold a third of all rows. Here two passes over the rows do.
-The first counts rows per (group, measure, coarse bin), a bounded table that tells which bins hold a wanted rank. The
-second keeps the rows of just these bins and counts their values. Both passes sum before they shuffle, only sorts that can spill
-are used, and no step holds a group as a whole.
+one row per month, but a group of sailings may hold a third of all rows. Here the rows are first
+counted per (group, measure, value), which spreads a hot group over all tasks. The counts are written, so the rows behind are
+read once; where values hardly repeat they are as many as the rows. Ranks are then looked
+up in two steps: through the counts of coarse bins, and inside the few bins that hold a wanted rank.
+Only sorts that can spill are used, and no step holds a group as a whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,14 @@ from pyspark.sql import functions as F
 
 from fairlead.session import settle
 
+
+def value_counts(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """(keys, measure, value, n) for the non-null values; partially aggregated before the shuffle."""
+    pairs = ", ".join(f"struct('{m}' as measure, cast({m} as double) as value)" for m in measures)
+    long = df.selectExpr(*keys, f"inline(array({pairs}))").where("value is not null")
+    return long.groupBy(*keys, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 DIGITS = 4
 #: Powers of ten below which values share the bins of this one, so that steps never vanish.
 LEAST_EXPONENT = -290
@@ -36,36 +45,31 @@ def coarse_bin(value: Column, digits: int = DIGITS) -> Column:
     return F.when(size > 0, inside).otherwise(0.0)
 
 
-def long_rows(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """(keys, measure, value, bin) for the non-null values."""
-    pairs = ", ".join(f"struct('{m}' as measure, cast({m} as double) as value)" for m in measures)
-    long = df.selectExpr(*keys, f"inline(array({pairs}))").where("value is not null")
-    return long.withColumn("bin", coarse_bin(F.col("value")))
+def settled_counts(counts: DataFrame) -> DataFrame:
+    """Counts with their bins, written once: several lookups follow, the rows behind are read once."""
+    return settle(counts.withColumn("bin", coarse_bin(F.col("value"))), "counts")
 
 
-def at_levels(rows: DataFrame, key_sets: list[list[str]]) -> DataFrame:
-    """The rows once per key set, with its index as ``level`` and the other keys null."""
-    keys = list(dict.fromkeys(k for ks in key_sets for k in ks))
-    rest = [c for c in rows.columns if c not in keys]
-    kept = lambda k, ks: f"{k} as {k}" if k in ks else f"cast(null as {rows.schema[k].dataType.simpleString()}) as {k}"
-    sets = ", ".join(
-        f"struct({', '.join([f'{i} as level', *[kept(k, ks) for k in keys]])})" for i, ks in enumerate(key_sets))
-    return rows.selectExpr(f"inline(array({sets}))", *rest)
+def moments_of_counts(counts: DataFrame) -> DataFrame:
+    """(measure, mean, std): mean and sample deviation, the deviation around the mean in a second look."""
+    means = counts.groupBy("measure").agg(
+        F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"))
+    off = F.col("value") - F.col("mean")
+    # One row per measure: bounded by the list of drivers.
+    return counts.join(F.broadcast(means), "measure").groupBy("measure", "mean").agg(
+        F.sqrt(F.try_divide(F.sum(F.col("n") * off * off), F.max("total") - 1)).alias("std"))
 
 
-def quantiles_at_levels(df: DataFrame, key_sets: list[list[str]], measures: list[str], probs: dict[str, float],
-                        name=lambda measure, label: f"{measure}_{label}") -> DataFrame:
-    """One row per key set and key, with ``level`` and a column for each measure and probability (linear interpolation).
+def quantiles_of_counts(counts: DataFrame, keys: list[str], probs: dict[str, float],
+                        measures: list[str], name=lambda measure, label: f"{measure}_{label}") -> DataFrame:
+    """One row per key with a column for each measure and probability (linear interpolation).
 
-    Writes two bounded tables while it is called: counts per bin, and the bins that hold a wanted rank.
+    ``counts`` come from ``settled_counts``.
     """
-    keys = list(dict.fromkeys(k for ks in key_sets for k in ks))
-    group = ["level", *keys, "measure"]
-    rows = long_rows(df, keys, measures)
-    fine = settle(rows.groupBy(*keys, "measure", "bin").agg(F.count(F.lit(1)).alias("n")), "bin-counts")
+    group = [*keys, "measure"]
     whole = Window.partitionBy(*group)
     bins = (
-        at_levels(fine, key_sets).groupBy(*group, "bin").agg(F.sum("n").alias("bin_n"))
+        counts.groupBy(*group, "bin").agg(F.sum("n").alias("bin_n"))
         .withColumn("before", F.sum("bin_n").over(whole.orderBy("bin")) - F.col("bin_n"))
         .withColumn("total", F.sum("bin_n").over(whole))
     )
@@ -78,14 +82,11 @@ def quantiles_at_levels(df: DataFrame, key_sets: list[list[str]], measures: list
             f"struct('{label}' as label, floor({pos}) + 1 as rank, {pos} - floor({pos}) as weight)"]
     held = F.expr(f"filter(array({', '.join(wanted)}), "
                   "w -> w.weight > 0 and w.rank >= before and w.rank < before + bin_n)")
-    bins = settle(
+    bins = (
         bins.withColumn("wanted", held).where("size(wanted) > 0")
-        .selectExpr(*[f"{k} as _{k}" for k in [*group, "bin"]], "before", "wanted"), "wanted-bins")
-    same = F.expr(" and ".join([*[f"{k} <=> _{k}" for k in keys], *[f"{k} = _{k}" for k in ("level", "measure", "bin")]]))
-    counts = (
-        at_levels(rows, key_sets).join(bins.drop("before", "wanted"), same).groupBy(*group, "bin", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .selectExpr(*[f"{k} as _{k}" for k in [*group, "bin"]], "before", "wanted")
     )
+    same = F.expr(" and ".join(f"{k} <=> _{k}" for k in [*group, "bin"]))
     up_to = F.sum("n").over(Window.partitionBy(*group, "bin").orderBy("value")) + F.col("before")
     picked = (
         counts.join(bins, same)
@@ -97,8 +98,25 @@ def quantiles_at_levels(df: DataFrame, key_sets: list[list[str]], measures: list
         F.expr(f"sum(if(measure = '{m}' and label = '{label}', weight * value, null)) as {name(m, label)}")
         for m in measures for label in probs
     ]
-    return picked.groupBy("level", *keys).agg(*cells)
+    return picked.groupBy(*keys).agg(*cells)
 
 
 def group_quantiles(df: DataFrame, keys: list[str], measures: list[str], probs: dict[str, float], **kw) -> DataFrame:
-    return quantiles_at_levels(df, [keys], measures, probs, **kw).drop("level")
+    return quantiles_of_counts(settled_counts(value_counts(df, keys, measures)), keys, probs, measures, **kw)
+
+
+def roll_up_counts(counts: DataFrame, key_sets: list[list[str]]) -> DataFrame:
+    """Counts at several levels from the counts of the finest, with the index of the key set as ``level``.
+
+    The history is read once; only the counts are multiplied by the number of levels.
+    """
+    keys = list(dict.fromkeys(k for ks in key_sets for k in ks))
+    if len(key_sets) == 1:
+        return counts.select(F.lit(0).alias("level"), *keys, "measure", "value", "n")
+    kept = lambda k, ks: f"{k} as {k}" if k in ks else f"cast(null as {counts.schema[k].dataType.simpleString()}) as {k}"
+    rows = ", ".join(
+        f"struct({', '.join([f'{i} as level', *[kept(k, ks) for k in keys]])})" for i, ks in enumerate(key_sets))
+    return (
+        counts.selectExpr(f"inline(array({rows}))", "measure", "value", "n")
+        .groupBy("level", *keys, "measure", "value").agg(F.sum("n").alias("n"))
+    )
