@@ -4,11 +4,13 @@ The CGK embedding walks over a sequence, writing the present symbol at every ste
 (step, symbol) says so. Two sequences at a small edit distance fall back into step soon after each edit, so their embeddings
 differ in few places: edit distance becomes Hamming distance, and sampling places of the embedding is an LSH for it.
 
-Here symbols are words. Each document is read in windows of the length of each benchmark item. A window whose sampled places equal an item's in
-any of the repetitions is a candidate, and the item's exact edit distance to the best passage around it decides.
+Here symbols are words. Walks drift apart as edits add up, so long items are cut into pieces of about PIECE words. However the
+edits lie, one piece at least has no larger share of them than the item may have, and mostly several have: recall grows with the length.
+Each document is read in windows of the length of each piece. A window whose sampled places equal a piece's in any of the
+repetitions makes the item a candidate there, and the exact edit distance of the whole item to the best passage around it decides.
 
-Windows that cannot match are not embedded. A replaced or missing word destroys two of an item's n - 1 word pairs, an added one destroys
-one and pushes one out of the window; so after k edits the window at the passage's beginning holds n - 1 - 2k of them.
+Windows that cannot match are not embedded. A replaced or missing word destroys two of a piece's n - 1 word pairs, an added one destroys
+one and pushes one out of the window; so after k edits the window at the piece's beginning holds n - 1 - 2k of them.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ EDITS = 0.2
 LEAST_WORDS = 5
 #: Repetitions of the LSH and places each samples. Tests hold recall at the full number of edits against brute force.
 REPETITIONS, SAMPLED = 32, 4
+#: Words of a piece, about: items of 1.5 times as many and more are cut.
+PIECE = 20
 #: Items handled at once: the bound of what is broadcast. More items go in further blocks.
 BLOCK = 20_000
 
@@ -99,19 +103,25 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     vocabulary: dict[str, int]
-    #: Word pairs of the items, sorted, with the item lengths each occurs in (starts into lengths) and how often in one item at most.
+    #: Word pairs of the pieces, sorted, with the piece lengths each occurs in (starts into lengths) and how often in one piece at most.
     pairs: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
     times: np.ndarray
-    #: Per item length and repetition: the keys, and for each the places of its items in ``ids``.
-    tables: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = field(default_factory=dict)
+    #: Per piece length and repetition: the keys, and for each its pieces: places of their items in ``ids``, first words in the items.
+    tables: dict[int, list[tuple[np.ndarray, dict[int, list[tuple[int, int]]]]]] = field(default_factory=dict)
     edits: float = EDITS
 
     def pair_codes(self, words: np.ndarray) -> np.ndarray:
         return np.where((words[:-1] >= 0) & (words[1:] >= 0), words[:-1] * len(self.vocabulary) + words[1:], -1)
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(first word, end) of the pieces of an item of n words, of about equal lengths."""
+    parts = max(1, round(n / PIECE))
+    return [(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
+
+
 def prepare(items: list[tuple[int, str | None]], edits: float = EDITS, least: int = LEAST_WORDS) -> Items:
     vocabulary: dict[str, int] = {}
     ids, words = [], []
@@ -122,30 +132,30 @@ def prepare(items: list[tuple[int, str | None]], edits: float = EDITS, least: in
             words.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found], dtype=np.int64))
     out = Items(ids, words, vocabulary, *(np.empty(0, np.int64),) * 4, edits=edits)
     by_length = defaultdict(list)
-    for i, w in enumerate(words):
-        by_length[len(w)].append(i)
     times: dict[tuple[int, int], int] = defaultdict(int)
-    for w in words:
-        for pair, n in zip(*np.unique(out.pair_codes(w), return_counts=True)):
-            times[int(pair), len(w)] = max(times[int(pair), len(w)], int(n))
+    for i, w in enumerate(words):
+        for a, b in pieces(len(w)):
+            by_length[b - a].append((i, a))
+            for pair, n in zip(*np.unique(out.pair_codes(w[a:b]), return_counts=True)):
+                times[int(pair), b - a] = max(times[int(pair), b - a], int(n))
     if times:
         codes, out.lengths = np.array(sorted(times)).T
         out.times = np.array([times[k] for k in sorted(times)])
         out.pairs, out.starts = np.unique(codes, return_index=True)
         out.starts = np.append(out.starts, len(codes))
     for n, group in by_length.items():
-        keys = embedding_keys(np.stack([words[i] for i in group]))
+        keys = embedding_keys(np.stack([words[i][a:a + n] for i, a in group]))
         out.tables[n] = []
         for row in keys:
             table = defaultdict(list)
-            for key, i in zip(row.tolist(), group):
-                table[key].append(i)
+            for key, piece in zip(row.tolist(), group):
+                table[key].append(piece)
             out.tables[n].append((np.unique(row), dict(table)))
     return out
 
 
 def windows(items: Items, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(item length, starts) of the windows of a document that hold enough pairs of items of that length."""
+    """(piece length, starts) of the windows of a document that hold enough pairs of pieces of that length."""
     if len(words) < 2 or not len(items.pairs):
         return
     codes = items.pair_codes(words)
@@ -169,7 +179,7 @@ def windows(items: Items, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]
         close = last - first <= length - 2
         if not close.any():
             continue
-        # A pair counts in a window as often as in an item at most: not where so many earlier ones of it are inside.
+        # A pair counts in a window as often as in a piece at most: not where so many earlier ones of it are inside.
         pair = entry[mine]
         order = np.argsort(pair, kind="stable")
         pair, here = pair[order], here[order]
@@ -211,19 +221,21 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int
             for (known, table), row in zip(items.tables[length], embedding_keys(block)):
                 hit = np.isin(row, known)
                 for at_row in np.flatnonzero(hit[same]).tolist() if hit.any() else ():
-                    for i in table[int(row[same[at_row]])]:
-                        candidates[int(own[at_row]), i].add(int(first[at_row]))
+                    for i, a in table[int(row[same[at_row]])]:
+                        candidates[int(own[at_row]), i].add((int(first[at_row]) - a, int(items.edits * length)))
     out = []
     for (t, i), starts in sorted(candidates.items()):
         item, most = items.words[i], int(items.edits * len(items.words[i]))
         regions = []
-        for s in sorted(starts):
-            a, b = max(0, s - most), s + len(item) + most
+        # The window may lie beside its piece, by the piece's edits, and that beside its place, by the edits before it.
+        for a, b in sorted((max(0, s - most - beside), s + len(item) + most + beside) for s, beside in starts):
             if regions and a <= regions[-1][1]:
-                regions[-1][1] = b
+                regions[-1][1] = max(regions[-1][1], b)
             else:
                 regions.append([a, b])
         for a, b in regions:
+            if np.isin(item, words[t][a:b]).sum() < len(item) - most:
+                continue  # each word of the item that the region lacks is an edit
             distance, start, end = passage(item, words[t][a:b])
             if distance <= most:
                 out.append((t, i, a + start, a + end, distance))

@@ -543,6 +543,22 @@ def test_passages_are_found_and_exact(spark, edges, empty):
     assert decontaminate.contaminated(edges, benchmark.limit(0)).count() == 0 and decontaminate.contaminated(empty, benchmark).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 10, 20, 29, 30, 60, 120, 250, 400])
+def test_recall_at_all_edits_for_each_length(n):
+    rng = random.Random(n)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i in range(max(20, min(100, 3000 // n)))]
+    texts = []
+    for _, item in items:
+        passage = item.split()
+        for _ in range(n // 5):
+            at, op = rng.randrange(len(passage)), rng.choice("rdi")
+            passage[at:at + (op != "i")] = [] if op == "d" else [rng.choice(vocabulary)]
+        texts.append(" ".join([*rng.choices(vocabulary, k=50), *passage, *rng.choices(vocabulary, k=50)]))
+    found = {hit[:2] for hit in decontaminate.find(decontaminate.prepare(items), texts)}
+    assert len(found & {(i, i) for i, _ in items}) >= 0.97 * len(items)
+
+
 def test_items_go_out_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 2)
     items = [(i, " ".join(f"w{i}x{k}" for k in range(8))) for i in range(7)]
