@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import urllib.parse
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -333,6 +334,31 @@ def test_layers_end_and_stay_quiet():
     assert secretscan.scan(big)[2]
 
 
+def test_large_layers_are_scanned_whole():
+    secret = " password = 'hunter2hunter2X' "
+    b64 = lambda b: base64.b64encode(b).decode()
+    for filler in ("- " * (17 << 20), "a" + " \u00e9" * (12 << 20)):
+        text = "x " + b64(gzip.compress((filler + secret).encode(), 1)) + " y"
+        assert secretscan.scan(text)[1:] == ([(2, 0, len(text) - 2)], True)
+    for k in range(secretscan.CHUNK - 40, secretscan.CHUNK + 4, 3):  # over the edge of a chunk
+        assert secretscan.scan(b64(gzip.compress(("- " * (k // 2) + secret).encode(), 1)))[1]
+
+
+def test_layers_are_found_where_they_begin():
+    secret = "password = 'hunter2hunter2X'"
+    b64 = lambda b: base64.b64encode(b).decode()
+    packed = b64(zlib.compress(b"x" * 30 + secret.encode())), b64(gzip.compress(secret.encode()))
+    noise = bytes(random.Random(5).randrange(256) for _ in range(300)).hex().upper()
+    wrapped = base64.encodebytes(b"some words before it, so that it goes over a line " * 1 + b"...." + secret.encode()).decode()
+    lines = base64.encodebytes(gzip.compress(bytes.fromhex(noise) + secret.encode())).decode()
+    members = b64(gzip.compress(b"first") + gzip.compress(secret.encode()))
+    texts = ["https://h/x/" + b64(secret.encode()), "key-" + packed[1], "https://h/x/" + packed[0], "ab/" + packed[1] + "\n", wrapped, lines, members,
+             b64(b"\xff\x00\x1b" + secret.encode()), "%FF" + "".join(f"%{c:02x}" for c in secret.encode())]
+    for text in texts:
+        assert [k for _, k, _ in secretscan.scan(text)[1]] == [0], text
+        assert secretscan.scan(secretscan.redacted(text))[:2] == ([], []), text
+
+
 def test_secret_frames(edges, empty):
     out = secretscan.scan_secrets(clashing(edges)).collect()
     assert len(out) == len(edge_rows()) and secretscan.scan_secrets(empty).count() == 0
