@@ -155,16 +155,19 @@ class Model:
 def fit(rows: DataFrame, vocabulary_path: str, most: int = 4000, text: str = "text", lang: str = "lang") -> Model:
     """Learn piece probabilities from rows with a language.
 
-    Per language about ``most`` rows are used, those with the smallest hashes of their text: the bound of what is fitted on; smaller
-    languages use all rows. Texts and languages that are null are left out. Runs jobs while it is called.
+    Per language about ``most`` distinct texts are used, each once, those with the smallest hashes: the bound of what is fitted on;
+    languages with fewer use all. The prior counts rows. Texts and languages that are null are left out. Runs jobs while it is called.
     """
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"))
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    # Copies are counted together before the shuffle.
+    texts = known.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()
+    n, distinct = {r["lang"]: r["n"] for r in sizes}, {r["lang"]: r["distinct"] for r in sizes}
     languages = sorted(n)
     if not n:
         return Model([], np.empty(0), np.empty((0, 0)), vocabulary_path)
-    part = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, most / n[k]) * 2**32))])
+    part = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, most / distinct[k]) * 2**32))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, words = vocabulary(vocabulary_path), defaultdict(Counter)
@@ -185,7 +188,7 @@ def fit(rows: DataFrame, vocabulary_path: str, most: int = 4000, text: str = "te
                 yield from told()
         yield from told()
 
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(2**32)) < part[F.col("lang")])
+    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(2**32)) < part[F.col("lang")]).distinct()
     # At most one row per language and piece of the vocabulary.
     counted = chosen.mapInArrow(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     vocab = vocabulary(vocabulary_path)

@@ -467,6 +467,17 @@ def test_languages_are_told_apart(spark, edges, empty):
     assert langid.predict(edges, langid.fit(empty, path)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_copies_do_not_thin_the_training_texts(spark):
+    import public_tokenizers
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [f"{a}{b}" for a in WORDS for b in WORDS[:4]]
+    plain = spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string")
+    copies = plain.unionByName(spark.range(20000).selectExpr("'the same line' as text", "'aa' as lang"))
+    once = plain.unionByName(spark.range(1).selectExpr("'the same line' as text", "'aa' as lang"))
+    got, want = langid.fit(copies, path, most=500), langid.fit(once, path, most=500)
+    assert np.allclose(got.prob, want.prob)
+
+
 # ---- quality
 
 def brute_statistics(text):
