@@ -20,11 +20,6 @@ from fairlead.session import settle  # noqa: E402
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``ids``; documents without an id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not reject."""
     prepare_session(spark)
@@ -33,17 +28,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id; documents without an id stay."""
+    """One document of each near-duplicate group, a row with the smallest id; documents without an id stay.
+
+    Rows are told apart by a written number, so that ids may repeat within and across groups.
+    """
     prepare_session(spark)
-    groups = settle(simhash.near_duplicates(docs), "near-duplicates")
-    later = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = _without(docs.select(*COLUMNS), settle(later, "duplicate-ids"))
-    # The smallest id may itself stand on several rows, of which one stays.
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = settle(twice, "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    return _without(kept, twice).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = settle(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    groups = settle(simhash.near_duplicates(rows, key="_row").select("_row", "component_id"), "near-duplicates")
+    named = settle(rows.where("doc_id is not null").select("_row", "doc_id").join(groups, "_row"), "grouped-rows")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    gone = settle(named.select("_row").join(kept, "_row", "left_anti"), "duplicate-rows")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,14 @@ def test_stages_take_empty_and_odd_tables(spark):
     assert counts == [5, 3, 3, 3, 3]
 
 
+def test_ids_that_repeat_across_groups_lose_no_group(spark):
+    first, second, third = (" ".join(f"{x}{i}" for i in range(60)) for x in ("apple", "stone", "river"))
+    rows = [(7, first), (3, second), (7, second), (7, third), (9, third), (None, third), (None, third)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(7, first), (3, second), (7, third), (None, third), (None, third)], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     from check import compare, duck
