@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, decontaminate, langid, outliers, pii, secretscan, simhash, slots, toxicity, warc
+from fairlead.llm import align, bpe, decontaminate, htmltext, langid, outliers, pii, secretscan, simhash, slots, toxicity, warc, whiten
 from fairlead.llm.tables import id_crc, prepare_session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,26 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their personal numbers, dates and addresses replaced."""
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY).select(
         "doc_id", "text", F.size("pii_kinds").cast("bigint").alias("n_pii"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
+@query("op11_gkl_whitening")
+def op11_gkl_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid embeddings whitened on up to 16 components of the covariance of their distinct whole-number vectors."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("op12_spill_alignment")
+def op12_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of both public vocabularies aligned over all documents, with corpus-wide pair counts."""
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                       public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_ttr_extraction")
+def op13_ttr_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

@@ -12,6 +12,7 @@ SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "benchmark": "item_id bigint, text string",
     "pages": "page_id bigint, url string, html string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
 
 #: Characters that separate words: ASCII white space.
