@@ -251,3 +251,26 @@ def q_comparison(spark, sf_dir):
     """Scenarios on the seasonal medians beside the total of the reporting view's latest run."""
     done = X.scenario_batch(scenarios(spark, sf_dir), forecast(spark, sf_dir)).drop("baseline_ntr_m")
     return shown(X.scenario_comparison(done, view(spark, sf_dir)), scenario_ntr_m=5, baseline_ntr_m=5, delta_vs_baseline_m=5)
+
+
+_SDRAWS = "sdraws as (select scenario_id, i, " + ", ".join(
+    f"coalesce({OVERRIDE_COLUMNS[d]}, m_{d}) + s_{d} * sqrt(-2::double*ln({_u(2 * j)})) * cos(6.283185307179586::double*{_u(2 * j + 1)})"
+    f" as w_{d}" for j, d in enumerate(OVERRIDABLE)) + " from saved, ov, range(3000) x(i))"
+_PROF = """prof as (select lower_berth_capacity as cap, itinerary_length as len, count(*) as k, sum(1-direct_booking_pct) as ag,
+  sum(air_cost_per_pax) as air, sum(taxes_fees_per_pax) as tx from fcst group by 1, 2)"""
+_SSIMS = """ssims as (select scenario_id, i as draw_id, sum(trunc(cap*w_load_factor)*(w_gross_fare_per_diem*len*(1-w_discount_rate)
+  *(k-w_commission_rate*ag) - (k*w_promo_cost_per_pax + w_air_inclusive_pct*air + tx)))/1e6 as ntr_m
+  from sdraws, prof group by 1, 2)"""
+
+
+@query("scenario_feasibility", with_ctes("fcst", f"""
+select scenario_id, t as target_ntr_m, count(*) as simulations, {r('quantile_cont(ntr_m, 0.1)', 5)} as p10,
+  {r('quantile_cont(ntr_m, 0.5)', 5)} as p50, {r('quantile_cont(ntr_m, 0.9)', 5)} as p90,
+  {r('avg(case when ntr_m >= t then 1 else 0 end)*100')} as feasibility_pct,
+  case when avg(case when ntr_m >= t then 1 else 0 end)*100 >= 60 then 'High likelihood'
+    when avg(case when ntr_m >= t then 1 else 0 end)*100 >= 35 then 'Moderate — stretch' else 'Low — heroic assumptions' end as feasibility
+from ssims, (select floor(b*1.05::double+0.5) as t from base) group by scenario_id, t""", ",\n".join([_INPUTS, _SAVED, _SDRAWS, _PROF, _SSIMS])))
+def q_feasibility(spark, sf_dir):
+    """Feasibility of all saved scenarios against their targets, under common random draws."""
+    _, profile, inputs = setup(spark, sf_dir)
+    return shown(X.scenario_feasibility(scenarios(spark, sf_dir), profile, inputs), p10=5, p50=5, p90=5)

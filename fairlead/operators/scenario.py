@@ -283,6 +283,8 @@ def override_profile(forecast: DataFrame) -> DataFrame:
 
 #: Capacities of the profile that travel together.
 PROFILE_BLOCK = 1000
+#: A profile of at most so many blocks (counted) goes to every task; a larger one is joined by a shuffle.
+BROADCAST_BLOCKS = 64
 
 
 def scenario_batch(scenarios: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -330,6 +332,71 @@ def scenario_batch(scenarios: DataFrame, forecast: DataFrame) -> DataFrame:
     return scenarios.join(sums, "scenario_id", "left")
 
 
+def _profile_blocks(profile: DataFrame) -> DataFrame:
+    """The profile packed into blocks of about PROFILE_BLOCK rows: (``_block``, ``_rows``)."""
+    blocks = max(1, -(-profile.count() // PROFILE_BLOCK))
+    return profile.groupBy(F.pmod(F.xxhash64(*profile.columns[:2]), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct(*profile.columns)).alias("_rows")), blocks
+
+
+def scenario_draws(scenarios: DataFrame, profile: DataFrame, inputs: DataFrame, n: int = SIMULATIONS) -> DataFrame:
+    """(scenario_id, draw_id, ntr_m): every saved scenario under the same ``n`` draws of noise.
+
+    A draw sets each driver to the scenario's value plus the driver's historical deviation times a hashed normal
+    number, the same numbers for every scenario and the same as ``monte_carlo``'s; a null override means the driver's
+    baseline mean, as on the page where the sliders start at it. With all six drivers fixed, a draw needs only the
+    profile by capacity and length (``schedule_profile``).
+
+    The draws travel as one array of ``n`` rows, a bound of the method; the scenarios stay distributed, each
+    (scenario, draw) meets the profile in blocks of PROFILE_BLOCK rows, and only one sum per (scenario, draw, block)
+    leaves a task. Scenarios with an equal id are summed as one.
+    """
+    spark = scenarios.sparkSession
+    stats = inputs.agg(*[F.max(F.when(F.col("driver") == d, F.col(c))).alias(f"{c}_{d}")
+                         for d in OVERRIDABLE for c in ("baseline_mean", "std")]).select(F.struct("*")).scalar()
+    noise = spark.range(n).select(F.collect_list(F.struct(
+        F.col("id").alias("draw_id"), *[hashed_normal(F.col("id"), j).alias(f"z_{d}") for j, d in enumerate(OVERRIDABLE)]))).scalar()
+    fixed = scenarios.select(
+        "scenario_id", *[F.coalesce(F.col(c).cast("double") if c in scenarios.columns else F.lit(None).cast("double"),
+                                    F.lit(None).cast("double")).alias(f"o_{d}") for d, c in OVERRIDE_COLUMNS.items()]
+    ).withColumn("_s", stats).select(
+        "scenario_id", *[F.coalesce(F.col(f"o_{d}"), F.col(f"_s.baseline_mean_{d}")).alias(f"v_{d}") for d in OVERRIDABLE],
+        *[F.col(f"_s.std_{d}").alias(f"s_{d}") for d in OVERRIDABLE])
+    drawn = fixed.select("*", F.inline(noise)).select(
+        "scenario_id", "draw_id", *[(F.col(f"v_{d}") + F.col(f"s_{d}") * F.col(f"z_{d}")).alias(d) for d in OVERRIDABLE])
+    packed, blocks = _profile_blocks(profile)
+    ids = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    packed = F.broadcast(packed) if blocks <= BROADCAST_BLOCKS else packed
+    rows = drawn.withColumn("_block", ids).join(packed, "_block").select(
+        "scenario_id", "draw_id", *OVERRIDABLE, F.inline("_rows"))
+    c = F.col
+    pax = truncate(c("lower_berth_capacity") * c("load_factor"))
+    kept = pax * c("gross_fare_per_diem") * c("itinerary_length") * (1.0 - c("discount_rate"))
+    net = (kept * (c("n") - c("commission_rate") * c("agency_share"))
+           - pax * (c("n") * c("promo_cost_per_pax") + c("air_inclusive_pct") * c("air_cost") + c("taxes")))
+    return rows.groupBy("scenario_id", "draw_id").agg((F.sum(net) / 1e6).alias("ntr_m"))
+
+
+def scenario_feasibility(scenarios: DataFrame, profile: DataFrame, inputs: DataFrame, n: int = SIMULATIONS) -> DataFrame:
+    """Per saved scenario: target, simulations, P10, P50, P90 of the draws and the chance of reaching the target.
+
+    The target is the scenario's ``target_ntr_m`` where it has one, else the default target of ``target_bounds``.
+    A scenario without rows in the profile (empty schedule) has no draws and is not returned.
+    """
+    default = target_bounds(profile).select("default_target_m").scalar()
+    targets = scenarios.select(
+        "scenario_id", (F.col("target_ntr_m").cast("double") if "target_ntr_m" in scenarios.columns
+                        else F.lit(None).cast("double")).alias("_t")).groupBy("scenario_id").agg(F.max("_t").alias("_t"))
+    draws = scenario_draws(scenarios, profile, inputs, n).join(targets, "scenario_id").withColumn(
+        "target_ntr_m", F.coalesce("_t", default))
+    return draws.groupBy("scenario_id", "target_ntr_m").agg(
+        F.count(F.lit(1)).alias("simulations"),
+        F.percentile("ntr_m", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p"),
+        (F.avg((F.col("ntr_m") >= F.col("target_ntr_m")).cast("int")) * 100).alias("feasibility_pct"),
+    ).select("scenario_id", "target_ntr_m", "simulations", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p50"),
+             F.col("p")[2].alias("p90"), "feasibility_pct", feasibility_label(F.col("feasibility_pct")).alias("feasibility"))
+
+
 def isolated_attribution(forecast: DataFrame, inputs: DataFrame) -> DataFrame:
     """Impact of each assumption alone, the other drivers left at row level."""
     singles = inputs.select(F.col("driver").alias("scenario_id"), *[

@@ -112,3 +112,29 @@ def test_labels_and_comparison(spark, world):
     assert [r.scenario_id for r in rows] == ["b", "a"] and rows[0].delta_vs_baseline_m is None
     zero = X.scenario_comparison(saved, forecast.withColumn("net_ticket_revenue", F.lit(0.0))).collect()
     assert zero[1].pct_vs_baseline is None and zero[1].delta_vs_baseline_m == 10.0
+
+
+def test_feasibility_of_all_scenarios_equals_one_by_one_simulation(spark, world, monkeypatch):
+    _, profile, _, inputs = world
+    rows = [("a", 0.9, None, None, None, None, None, 1.0), ("b", None, 180.0, 0.1, None, None, 40.0, None),
+            ("c", None, None, None, None, None, None, None), ("c2", None, None, None, None, None, None, 5.0)]
+    saved = spark.createDataFrame(rows, "scenario_id string, " + ", ".join(
+        f"{c} double" for c in OVERRIDE_COLUMNS.values()) + ", target_ntr_m double").withColumn("notes", F.lit("x"))
+    monkeypatch.setattr(X, "PROFILE_BLOCK", 7)         # several blocks per scenario and draw
+    draws = X.scenario_draws(saved, profile, inputs, n=200).toPandas()
+    assert len(draws) == 4 * 200
+    for sid, *over, _ in rows:
+        fixed = dict(zip(OVERRIDABLE, over))
+        one = inputs.withColumn("value", F.coalesce(F.create_map(*[x for d in OVERRIDABLE for x in (
+            F.lit(d), F.lit(fixed[d]).cast("double"))])[F.col("driver")], F.col("baseline_mean")))
+        want = X.monte_carlo(profile, one, n=200).toPandas().sort_values("draw_id")
+        got = draws[draws.scenario_id == sid].sort_values("draw_id")
+        assert np.allclose(got.ntr_m.values, want.ntr_m.values, rtol=1e-12, atol=1e-9)
+    summary = {r.scenario_id: r for r in X.scenario_feasibility(saved, profile, inputs, n=200).collect()}
+    default = X.target_bounds(profile).first().default_target_m
+    assert summary["a"].target_ntr_m == 1.0 and summary["c"].target_ntr_m == default
+    for sid in ("a", "b", "c"):
+        outcomes = draws[draws.scenario_id == sid].ntr_m.values
+        assert summary[sid].feasibility_pct == pytest.approx((outcomes >= summary[sid].target_ntr_m).mean() * 100)
+        assert summary[sid].p50 == pytest.approx(np.percentile(outcomes, 50))
+    assert X.scenario_feasibility(saved.limit(0), profile, inputs, n=10).count() == 0
