@@ -274,3 +274,53 @@ def q_feasibility(spark, sf_dir):
     """Feasibility of all saved scenarios against their targets, under common random draws."""
     _, profile, inputs = setup(spark, sf_dir)
     return shown(X.scenario_feasibility(scenarios(spark, sf_dir), profile, inputs), p10=5, p50=5, p90=5)
+
+
+# versioned store and comparison view ------------------------------------------------------------------
+
+_FINAL = """saved as (select s.scenario_id, s.scenario_name, 'analyst ' || cast(n_regionkey as varchar) as created_by, s.created_at,
+  case when n_nationkey % 3 = 1 then 400.0::double + n_nationkey end as target_ntr_m,
+  case when n_nationkey % 5 = 1 then 0.85::double else load_factor_override end as load_factor_override,
+  gross_per_diem_override, discount_rate_override, commission_rate_override, air_inclusive_pct_override, promo_cost_override,
+  case when n_nationkey % 5 = 1 then 'revised' else concat('note on ', n_name) end as notes
+  from saved0 s join nation on s.scenario_id = concat('S', n_nationkey) where n_nationkey <> 24)"""
+_FEAS = """feas as (select scenario_id, avg(case when ntr_m >= coalesce(target_ntr_m, t) then 1 else 0 end)*100 as f
+  from ssims join saved using (scenario_id), (select floor(b*1.05::double+0.5) as t from base) group by scenario_id)"""
+
+
+def _saved_versions(spark, sf_dir, path):
+    """Version 1 of the stand-in scenarios with author, target and notes; an edit of every fifth; one deleted."""
+    from fairlead.sources import store
+    from fairlead.sources.standin import table
+
+    k = F.col("n_nationkey")
+    extra = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("S"), k.cast("string")).alias("scenario_id"), F.concat(F.lit("analyst "), F.col("n_regionkey").cast("string")).alias("created_by"),
+        F.when(k % 3 == 1, k + 400.0).alias("target_ntr_m"), F.concat(F.lit("note on "), F.col("n_name")).alias("notes"), (k % 5 == 1).alias("_edit"),
+        (k == 24).alias("_gone"))
+    store.save_scenario_versions(scenarios(spark, sf_dir).join(extra.drop("_edit", "_gone"), "scenario_id"), path)
+    newest = settle(store.newest_scenarios(spark, path).join(extra.select("scenario_id", "_edit", "_gone"), "scenario_id"), "scenario-edit")
+    store.save_scenario_versions(newest.where("_edit").withColumns(
+        {"load_factor_override": F.lit(0.85), "notes": F.lit("revised")}).drop("_edit", "_gone"), path)
+    store.delete_scenarios(newest.where("_gone"), path)
+
+
+@query("v_scenario_comparison", with_ctes("monthly future fcst", f"""
+select scenario_id, scenario_name, created_by, created_at, {rc('target_ntr_m')}, {r('n', 5)} as scenario_ntr_m, {r('f')} as feasibility_pct,
+  {r('v', 5)} as baseline_ntr_m, {r('n-v', 5)} as delta_vs_baseline_m, {r(fr('(n-v)/nullif(v, 0)*100', 1))} as pct_vs_baseline, {_OV}, notes
+from saved join batch using (scenario_id) join feas using (scenario_id), (select sum(net_ticket_revenue)/1e6 as v from vw)
+order by created_at desc""", ",\n".join([_VIEW, _INPUTS, _SAVED.replace("saved as (", "saved0 as (", 1), _FINAL, _BATCH, _SDRAWS, _PROF,
+                                          _SSIMS, _FEAS])))
+def q_scenario_store(spark, sf_dir):
+    """Saved, edited and deleted scenarios; revenue and feasibility written back; compacted; the named comparison view."""
+    from fairlead.plans.scenarios import register_scenario_views, write_back
+    from fairlead.session import fresh_path
+    from fairlead.sources import store
+
+    path = fresh_path(spark, "walk-to-target-runs")
+    _saved_versions(spark, sf_dir, path)
+    fc, profile, inputs = setup(spark, sf_dir)
+    write_back(spark, path, fc, profile, inputs)
+    store.compact_scenarios(spark, path)
+    register_scenario_views(spark, path, view(spark, sf_dir))
+    return shown(spark.sql("select * from v_scenario_comparison"), scenario_ntr_m=5, baseline_ntr_m=5, delta_vs_baseline_m=5)

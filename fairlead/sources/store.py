@@ -90,3 +90,83 @@ def constraint_report(df: DataFrame, schema: T.StructType, key: list[str], table
         F.coalesce(F.sum("extra"), F.lit(0)).alias("violations"))
     keyed = surplus.select(F.lit("primary key").alias("rule"), F.lit(", ".join(key)).alias("column"), "violations")
     return nulls.select(F.inline(rows)).unionByName(keyed).select(F.lit(table).alias("table"), "rule", "column", "violations")
+
+
+# versioned scenario store -------------------------------------------------------------------------
+
+#: Folders of the versioned scenario store; an id always lands in the same one.
+SCENARIO_BUCKETS = 16
+STORED_SCENARIOS = T.StructType([*SCENARIOS.fields, T.StructField("deleted", T.BooleanType()),
+                                 T.StructField("version", T.LongType()), T.StructField("seq", T.LongType())])
+
+
+def _next_version(spark: SparkSession, path: str) -> int:
+    """Microseconds of the driver's clock, above every stored version."""
+    import time
+
+    now = time.time_ns() // 1000
+    try:
+        stored = spark.read.schema(STORED_SCENARIOS).parquet(path).agg(F.max("version")).first()[0]
+    except Exception as error:  # no table yet
+        if "PATH_NOT_FOUND" not in str(error) and "does not exist" not in str(error):
+            raise
+        stored = None
+    return max(now, (stored or 0) + 1)
+
+
+def save_scenario_versions(df: DataFrame, path: str, deleted: bool = False) -> int:
+    """Append one new version of every row of ``df`` and return its number.
+
+    Ids and times are filled where absent; absent columns are null. Rows of one id in the same save are ordered by
+    ``seq``, the last wins. A save is one Spark job whose files appear only when it commits: a failed save leaves the
+    table as it was. ``deleted`` writes tombstones, which hide the ids from ``newest_scenarios``.
+    """
+    spark = df.sparkSession
+    version = _next_version(spark, path)
+    filled = {
+        "scenario_id": F.coalesce(F.col("scenario_id"), F.expr("uuid()")) if "scenario_id" in df.columns else F.expr("uuid()"),
+        "created_at": F.localtimestamp() if "created_at" not in df.columns
+        else F.coalesce(F.col("created_at"), F.localtimestamp()),
+    }
+    df = df.withColumns(filled)
+    rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in SCENARIOS.fields])
+    rows = rows.select("*", F.lit(deleted).alias("deleted"), F.lit(version).alias("version"),
+                       F.monotonically_increasing_id().alias("seq"),
+                       F.pmod(F.xxhash64("scenario_id"), F.lit(SCENARIO_BUCKETS)).cast("int").alias("bucket"))
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
+    return version
+
+
+def delete_scenarios(ids: DataFrame, path: str) -> int:
+    """Tombstones for the ids in column ``scenario_id`` of ``ids``."""
+    return save_scenario_versions(ids.select("scenario_id").distinct(), path, deleted=True)
+
+
+def newest_scenarios(spark: SparkSession, path: str, with_deleted: bool = False) -> DataFrame:
+    """The newest version of every scenario id, by ``max_by`` over (version, seq); tombstoned ids are left out.
+
+    One aggregation by id: an id's versions meet in one task, and their number is bounded by the saves of that id.
+    """
+    stored = spark.read.schema(STORED_SCENARIOS).parquet(path)
+    columns = [f.name for f in SCENARIOS.fields] + ["deleted", "version", "seq"]
+    newest = stored.groupBy("scenario_id").agg(
+        F.max_by(F.struct(*columns), F.struct("version", "seq")).alias("r")).select("r.*")
+    return newest if with_deleted else newest.where(~F.col("deleted")).drop("deleted", "version", "seq")
+
+
+def compact_scenarios(spark: SparkSession, path: str) -> None:
+    """Keep only the newest version of every id (tombstones included), bucket by bucket.
+
+    The newest rows are first written to the shared folder; the buckets that hold them are then replaced by a
+    dynamic partition overwrite, other buckets are not touched. A failure before the overwrite's commit leaves all
+    versions readable, and reading the newest gives the same rows before and after.
+    """
+    from fairlead.session import drop_folder, fresh_path
+
+    staged = fresh_path(spark, "scenario-compaction")
+    newest = newest_scenarios(spark, path, with_deleted=True)
+    newest.withColumn("bucket", F.pmod(F.xxhash64("scenario_id"), F.lit(SCENARIO_BUCKETS)).cast("int")).write.parquet(staged)
+    (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+    drop_folder(spark, staged)

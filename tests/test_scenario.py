@@ -138,3 +138,28 @@ def test_feasibility_of_all_scenarios_equals_one_by_one_simulation(spark, world,
         assert summary[sid].feasibility_pct == pytest.approx((outcomes >= summary[sid].target_ntr_m).mean() * 100)
         assert summary[sid].p50 == pytest.approx(np.percentile(outcomes, 50))
     assert X.scenario_feasibility(saved.limit(0), profile, inputs, n=10).count() == 0
+
+
+def test_write_back_fills_revenue_and_feasibility(spark, world):
+    from fairlead.plans.scenarios import COMPARISON_COLUMNS, comparison, register_scenario_views, write_back
+    from fairlead.session import fresh_path
+    from fairlead.sources import store
+
+    forecast, profile, _, inputs = world
+    path = fresh_path(spark, "walk")
+    saved = spark.createDataFrame([("a", 0.9, None, "t"), ("b", None, 250.0, None)],
+                                  "scenario_id string, load_factor_override double, gross_per_diem_override double, notes string")
+    store.save_scenario_versions(saved, path)
+    full = settle(store.newest_scenarios(spark, path), "full")
+    write_back(spark, path, forecast, profile, inputs)
+    rows = {r.scenario_id: r for r in store.newest_scenarios(spark, path).collect()}
+    batch = {r.scenario_id: r for r in X.scenario_batch(full.drop("scenario_ntr_m"), forecast).collect()}
+    chance = {r.scenario_id: r for r in X.scenario_feasibility(full, profile, inputs).collect()}
+    for k in ("a", "b"):
+        assert rows[k].scenario_ntr_m == pytest.approx(batch[k].scenario_ntr_m)
+        assert rows[k].feasibility_pct == pytest.approx(chance[k].feasibility_pct)
+    assert rows["a"].notes == "t"
+    shown = comparison(spark, path, forecast)
+    assert shown.columns == COMPARISON_COLUMNS and len(COMPARISON_COLUMNS) == 17 and shown.count() == 2
+    register_scenario_views(spark, path, forecast)
+    assert spark.sql("select count(*) from v_scenario_comparison where feasibility_pct is not null").first()[0] == 2

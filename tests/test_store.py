@@ -95,3 +95,55 @@ def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     df = settle(spark.range(3).toDF("a"))
     assert df.count() == 3 and all(shared_folder(spark) in f for f in df.inputFiles())
+
+
+def _scenario(spark, *rows):
+    return spark.createDataFrame(rows, "scenario_id string, scenario_name string, load_factor_override double, notes string")
+
+
+def test_scenario_versions_newest_and_tombstones(spark):
+    path = fresh_path(spark, "versioned")
+    v1 = store.save_scenario_versions(_scenario(spark, ("a", "first", 0.8, None), ("b", "bee", None, "n")), path)
+    v2 = store.save_scenario_versions(_scenario(spark, ("a", "second", 0.9, "edited")), path)
+    assert v2 > v1
+    newest = {r.scenario_id: r for r in store.newest_scenarios(spark, path).collect()}
+    assert newest["a"].scenario_name == "second" and newest["a"].load_factor_override == 0.9 and newest["b"].notes == "n"
+    assert set(store.newest_scenarios(spark, path).columns) == set(schemas.SCENARIOS.fieldNames())
+    store.delete_scenarios(_scenario(spark, ("b", None, None, None)), path)
+    assert [r.scenario_id for r in store.newest_scenarios(spark, path).collect()] == ["a"]
+    store.save_scenario_versions(_scenario(spark, ("b", "back", 0.7, None)), path)
+    assert sorted(r.scenario_id for r in store.newest_scenarios(spark, path).collect()) == ["a", "b"]
+
+
+def test_failed_save_leaves_the_table_readable(spark):
+    path = fresh_path(spark, "versioned")
+    store.save_scenario_versions(_scenario(spark, ("a", "kept", 0.8, None)), path)
+    broken = _scenario(spark, ("a", "lost", 0.1, None), ("c", "lost", 0.1, None)).withColumn(
+        "notes", F.when(F.col("scenario_id") == "c", F.raise_error(F.lit("disk gone"))).otherwise(F.lit("x")))
+    try:
+        store.save_scenario_versions(broken, path)
+        raise AssertionError("the save should fail")
+    except Exception as error:
+        assert "disk gone" in str(error)
+    rows = store.newest_scenarios(spark, path).collect()
+    assert [(r.scenario_id, r.scenario_name) for r in rows] == [("a", "kept")]
+
+
+def test_compaction_keeps_the_newest_rows_only(spark):
+    path = fresh_path(spark, "versioned")
+    for i in range(3):
+        store.save_scenario_versions(_scenario(spark, *[(f"s{k}", f"v{i}", 0.5 + i / 10, None) for k in range(20)]), path)
+    store.delete_scenarios(_scenario(spark, ("s3", None, None, None)), path)
+    before = sorted(tuple(r) for r in store.newest_scenarios(spark, path).collect())
+    store.compact_scenarios(spark, path)
+    stored = spark.read.schema(store.STORED_SCENARIOS).parquet(path)
+    assert stored.count() == 20 and stored.groupBy("scenario_id").count().where("count > 1").count() == 0
+    assert sorted(tuple(r) for r in store.newest_scenarios(spark, path).collect()) == before
+    assert len(before) == 19 and {r[1] for r in before} == {"v2"}
+
+
+def test_repeated_ids_in_one_save_keep_the_last(spark):
+    path = fresh_path(spark, "versioned")
+    rows = _scenario(spark, ("a", "one", 0.1, None), ("a", "two", 0.2, None)).coalesce(1)
+    store.save_scenario_versions(rows, path)
+    assert [r.scenario_name for r in store.newest_scenarios(spark, path).collect()] == ["two"]
