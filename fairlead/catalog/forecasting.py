@@ -449,6 +449,32 @@ def q_readback(spark, sf_dir):
     return two_runs(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("run_publish", with_ctes("monthly", f"""
+select run_id, n_rows, case when run_id = '{AS_OF}' then 2 else 1 end::bigint as n_publications from (
+{_COUNTS} union all select '{month_before(AS_OF, 1)}', count(*)*12 from (select distinct brand, trade, ship_class
+  from monthly where load_factor is not null and month < date '{LAST}'))"""))
+def q_publish(spark, sf_dir):
+    """Two runs published, the current one twice; an aborted and a rejected run leave no trace."""
+    from pyspark.errors import PySparkException
+
+    path = fresh_path(spark, "forecast_results")
+    current = naive_results(spark, sf_dir, AS_OF)
+    for run in (naive_results(spark, sf_dir, month_before(AS_OF, 1)), current, current):
+        store.publish_run(run, path)
+    aborted = current.withColumns({"run_id": F.lit("aborted"), "brand": F.when(
+        F.col("horizon_month") == 3, F.raise_error(F.lit("run aborted"))).otherwise(F.col("brand"))})
+    try:
+        store.publish_run(aborted, path)
+    except PySparkException as error:
+        if "run aborted" not in str(error):
+            raise
+    store.publish_run(current.withColumns({"run_id": F.lit("rejected"), "brand": F.when(
+        F.col("horizon_month") == 1, F.lit(None)).otherwise(F.col("brand"))}), path)
+    rows = store.read_published(spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    lines = store.read_manifest(spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_publications"))
+    return rows.join(lines, "run_id", "full")
+
+
 @query("latest_run", with_ctes("monthly", f"select {_RES_KEYS}, {_RES_VALUES} from res", _RES))
 def q_latest(spark, sf_dir):
     return shown(store.latest_run(two_runs(spark, sf_dir)))

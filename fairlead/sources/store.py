@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlead.sources.schemas import RESULTS, SCENARIOS
+from fairlead.sources.schemas import RESULTS, RESULTS_KEY, SCENARIOS
 
 
 def append_results(results: DataFrame, path: str) -> DataFrame:
@@ -170,3 +170,73 @@ def compact_scenarios(spark: SparkSession, path: str) -> None:
     (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))
     drop_folder(spark, staged)
+
+
+# write, audit, publish of forecast runs ---------------------------------------------------------------
+
+MANIFEST = T.StructType([
+    T.StructField("run_id", T.StringType()), T.StructField("rows_written", T.LongType()),
+    T.StructField("horizon_months", T.LongType()), T.StructField("published_at", T.TimestampNTZType())])
+STATUS = T.StructType([
+    T.StructField("status", T.StringType()), T.StructField("run_id", T.StringType()),
+    T.StructField("rows_written", T.LongType()), T.StructField("horizon_months", T.LongType()),
+    T.StructField("violations", T.LongType())])
+
+
+def manifest_path(path: str) -> str:
+    """The run manifest beside the result table: one line per publication."""
+    return path.rstrip("/") + "_runs"
+
+
+def publish_run(results: DataFrame, path: str) -> DataFrame:
+    """Stage, audit and publish one run; returns one status row.
+
+    Stage: the rows go to a folder of their own in the shared folder, counted while written; a failure there
+    publishes nothing. Audit: required columns not null, the result key unique, exactly one run id; a run that
+    fails is ``rejected`` and not published. Publish: the run's own partition of the table is replaced by a
+    dynamic partition overwrite, so a repeated run id replaces its rows instead of doubling them, and one line is
+    appended to the manifest. Readers that go through the manifest never see a run before its line is written.
+    """
+    from fairlead.session import drop_folder, fresh_path
+
+    spark = results.sparkSession
+    staged = fresh_path(spark, "run-staging")
+    seen = read_observed_plain(results.select(*RESULTS.fieldNames()), staged)
+    rows = spark.read.schema(RESULTS).parquet(staged)
+    report = constraint_report(rows, RESULTS, RESULTS_KEY, "staged")
+    violations = report.agg(F.sum("violations")).first()[0] or 0
+    runs = rows.select("run_id").distinct().limit(2).count()
+    status = "published" if violations == 0 and runs == 1 else "rejected"
+    violations += 0 if runs == 1 else 1
+    if status == "published":
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+        spark.createDataFrame([(seen["run_id"], seen["n"], seen["horizon"])], "run_id string, rows_written long, horizon_months long").select(
+            "run_id", "rows_written", "horizon_months", F.localtimestamp().alias("published_at")).write.mode("append").parquet(manifest_path(path))
+    drop_folder(spark, staged)
+    return spark.createDataFrame([(status, seen["run_id"], seen["n"], seen["horizon"], int(violations))], STATUS)
+
+
+def read_observed_plain(rows: DataFrame, path: str) -> dict:
+    """Write ``rows`` to ``path`` (no partitions) and return their count, largest run id and horizon."""
+    from pyspark.sql import Observation
+
+    seen = Observation("staged")
+    rows.observe(seen, F.count(F.lit(1)).alias("n"), F.max("run_id").alias("run_id"),
+                 F.max("horizon_month").cast("bigint").alias("horizon")).write.parquet(path)
+    return seen.get
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(manifest_path(path))
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows of the runs in the manifest only."""
+    runs = read_manifest(spark, path).select("run_id").distinct()
+    return read_results(spark, path).join(runs, "run_id", "left_semi")
+
+
+def latest_published(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the highest published run id; the manifest names it and only that run's folder is read."""
+    newest = read_manifest(spark, path).agg(F.max("run_id")).scalar()
+    return read_results(spark, path).where(F.col("run_id") == newest)

@@ -147,3 +147,30 @@ def test_repeated_ids_in_one_save_keep_the_last(spark):
     rows = _scenario(spark, ("a", "one", 0.1, None), ("a", "two", 0.2, None)).coalesce(1)
     store.save_scenario_versions(rows, path)
     assert [r.scenario_name for r in store.newest_scenarios(spark, path).collect()] == ["two"]
+
+
+def test_publish_replaces_a_repeated_run_and_keeps_failed_ones_out(spark):
+    path = fresh_path(spark, "published")
+    day = dt.date(2000, 8, 1)
+    first = store.publish_run(spark.createDataFrame([result("2000-07-01", day, lf=0.5)], schemas.RESULTS), path).first()
+    assert (first.status, first.rows_written, first.violations) == ("published", 1, 0)
+    two = [result("2000-08-01", day, lf=0.8), result("2000-08-01", day, brand="B", lf=0.7)]
+    store.publish_run(spark.createDataFrame(two, schemas.RESULTS), path)
+    again = store.publish_run(spark.createDataFrame(two, schemas.RESULTS), path).first()
+    assert again.status == "published"
+    table = store.read_published(spark, path)
+    assert table.count() == 3 and store.duplicate_keys(table, schemas.RESULTS_KEY).count() == 0
+    broken = spark.createDataFrame([result("2000-09-01", day)], schemas.RESULTS).withColumn(
+        "brand", F.raise_error(F.lit("executor lost for good")))
+    try:
+        store.publish_run(broken, path)
+        raise AssertionError("the run should fail")
+    except Exception as error:
+        assert "executor lost for good" in str(error)
+    bad = spark.createDataFrame([result("2000-10-01", day), result("2000-10-01", day)], schemas.RESULTS)
+    rejected = store.publish_run(bad, path).first()
+    assert rejected.status == "rejected" and rejected.violations == 1
+    assert sorted(r.run_id for r in store.read_manifest(spark, path).collect()) == ["2000-07-01", "2000-08-01", "2000-08-01"]
+    assert store.read_published(spark, path).count() == 3
+    newest = store.latest_published(spark, path)
+    assert sorted(r.load_factor_fcst for r in newest.collect()) == [0.7, 0.8]
