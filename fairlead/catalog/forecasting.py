@@ -292,6 +292,35 @@ def q_conformal(spark, sf_dir):
     return shown(E.conformal_interval(fc, errors).drop("model", "sigma", "width", "used"))
 
 
+_TIERS = {"series": "unique_id", "parent": "parent", "driver": None}
+_CONFH = _CONF + """,
+ce as (select driver, model, unique_id, regexp_replace(unique_id, '/[^/]*$', '') as parent, h, abs(error) as v from err),
+lv as (select unnest([0.8::double, 0.95::double]) as lvl),""" + ",".join(f"""
+w_{t} as (select lvl, driver, model, {k + ', ' if k else ''}h, case when ceil((count(*)+1)*lvl) <= count(*)
+  then list(v order by v)[ceil((count(*)+1)*lvl)::int] end as w from ce, lv group by lvl, driver, model, {k + ', ' if k else ''}h)"""
+    for t, k in _TIERS.items())
+
+
+@query("fc_interval_conformal_h", with_ctes("monthly", f"""
+select driver, unique_id, h, ds, {rc('yhat')}, lvl as interval_level, {r('yhat-coalesce(s.w, p.w, d.w)')} as lo,
+  {r('yhat+coalesce(s.w, p.w, d.w)')} as hi,
+  case when s.w is not null then 'series' when p.w is not null then 'parent' when d.w is not null then 'driver' end as interval_tier
+from (select *, regexp_replace(unique_id, '/[^/]*$', '') as parent from snf) f cross join lv
+left join w_series s using (lvl, driver, unique_id, h) left join w_parent p using (lvl, driver, parent, h)
+left join w_driver d using (lvl, driver, h)
+where coalesce(s.model, 'seasonal_naive') = 'seasonal_naive' and coalesce(p.model, 'seasonal_naive') = 'seasonal_naive'
+  and coalesce(d.model, 'seasonal_naive') = 'seasonal_naive'""", _CONFH))
+def q_conformal_h(spark, sf_dir):
+    """Conformal intervals of the seasonal naive forecasts per step, at 80 and 95 %, with back-off."""
+    s = settle(series(spark, sf_dir), "series")
+    errors = settle(E.rolling_origin_errors(s, M.SIMPLE_MODELS, CUTOFFS, CV_HORIZON).select(
+        "driver", "unique_id", "model", "h", "error"), "errors")
+    fitted = M.fit_models(S.densify(S.series_arrays(s), LAST), {"seasonal_naive": M.seasonal_naive})
+    fc = M.forecasts_long(fitted, ["seasonal_naive"])
+    both = E.conformal_by_horizon(fc, errors, 0.8).unionByName(E.conformal_by_horizon(fc, errors, 0.95))
+    return shown(both.select("driver", "unique_id", "h", "ds", "yhat", "interval_level", "lo", "hi", "interval_tier"))
+
+
 @query("forecast_errors", with_ctes("monthly", f"""
 select driver, unique_id, cutoff, model, h, ds, {rc('yhat')}, {rc('y')}, {rc('error')} from err""", _CV))
 def q_errors(spark, sf_dir):

@@ -72,3 +72,39 @@ def conformal_interval(forecasts: DataFrame, errors: DataFrame, level: float = 0
     width = errors.groupBy(*by).agg(F.percentile(F.abs("error"), F.lit(level)).alias("_half"))
     return forecasts.join(width, list(by), "left").withColumns({
         "lo": F.col("yhat") - F.col("_half"), "hi": F.col("yhat") + F.col("_half")}).drop("_half")
+
+
+#: Levels of the conformal back-off: the series, its parent (the key without its last part), all series of the driver.
+CONFORMAL_TIERS = ("series", "parent", "driver")
+
+
+def conformal_by_horizon(forecasts: DataFrame, errors: DataFrame, level: float = 0.8) -> DataFrame:
+    """Split-conformal interval per series and step ``h``, with the level stored in ``interval_level``.
+
+    The half width is the k-th smallest absolute held-out error of the same driver, model and step, k = ceil((n + 1)
+    * level) among the n errors of the series; where k > n the errors of the parent series (all series whose key
+    differs only in its last part) are pooled, then those of all series of the driver. ``interval_tier`` tells which
+    level gave the width; where none has enough errors, lo and hi are null. Errors are counted per value first and
+    ranked through coarse bins, so a pool with all series of a driver is never held in one task.
+    """
+    from fairlead.operators.quantiles import roll_up_counts, settled_counts, value_counts, values_at_rank
+
+    parent = F.regexp_replace("unique_id", "/[^/]*$", "")
+    keys = ["driver", "model", "unique_id", "parent", "h"]
+    tiers = [keys, ["driver", "model", "parent", "h"], ["driver", "model", "h"]]
+    counts = value_counts(errors.select(*keys[:3], parent.alias("parent"), "h", F.abs("error").alias("abs_error")),
+                          keys, ["abs_error"])
+    ranked = values_at_rank(settled_counts(roll_up_counts(counts, tiers)), ["level", *keys],
+                            f"ceil((total + 1) * {float(level)!r}D) - 1")
+    found = forecasts.withColumn("_parent", parent)
+    for i, ks in enumerate(tiers):
+        names = {k: ("_parent" if k == "parent" else k) for k in ks}
+        tier = ranked.where(F.col("level") == i).select(*[F.col(k).alias(f"_w{i}_{k}") for k in ks],
+                                                        F.col("value").alias(f"_w{i}"))
+        found = found.join(tier, [found[names[k]].eqNullSafe(tier[f"_w{i}_{k}"]) for k in ks], "left").drop(
+            *[f"_w{i}_{k}" for k in ks])
+    half = F.coalesce(*[F.col(f"_w{i}") for i in range(len(tiers))])
+    tier_name = F.coalesce(*[F.when(F.col(f"_w{i}").isNotNull(), F.lit(t)) for i, t in enumerate(CONFORMAL_TIERS)])
+    return found.withColumns({
+        "lo": F.col("yhat") - half, "hi": F.col("yhat") + half, "interval_level": F.lit(float(level)),
+        "interval_tier": tier_name}).drop("_parent", *[f"_w{i}" for i in range(len(tiers))])

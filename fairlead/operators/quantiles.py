@@ -120,3 +120,26 @@ def roll_up_counts(counts: DataFrame, key_sets: list[list[str]]) -> DataFrame:
         counts.selectExpr(f"inline(array({rows}))", "measure", "value", "n")
         .groupBy("level", *keys, "measure", "value").agg(F.sum("n").alias("n"))
     )
+
+
+def values_at_rank(counts: DataFrame, keys: list[str], rank: str) -> DataFrame:
+    """(keys, measure, value, total): the value at the 0-based ``rank`` of each group, in ascending order.
+
+    ``rank`` is a SQL expression of ``total``, the group's count; a group whose rank falls outside 0 to total - 1
+    gives no row. ``counts`` come from ``settled_counts``; as in ``quantiles_of_counts``, ranks are found through
+    the counts of coarse bins and then inside the one bin that holds them, so no step holds a group whole.
+    """
+    group = [*keys, "measure"]
+    whole = Window.partitionBy(*group)
+    bins = (
+        counts.groupBy(*group, "bin").agg(F.sum("n").alias("bin_n"))
+        .withColumn("before", F.sum("bin_n").over(whole.orderBy("bin")) - F.col("bin_n"))
+        .withColumn("total", F.sum("bin_n").over(whole))
+        .withColumn("rank", F.expr(rank).cast("bigint"))
+        .where("rank >= before and rank < before + bin_n")
+        .selectExpr(*[f"{k} as _{k}" for k in [*group, "bin"]], "before", "rank", "total")
+    )
+    same = F.expr(" and ".join(f"{k} <=> _{k}" for k in [*group, "bin"]))
+    up_to = F.sum("n").over(Window.partitionBy(*group, "bin").orderBy("value")) + F.col("before")
+    return (counts.join(bins, same).withColumn("up_to", up_to)
+            .where("rank < up_to and rank >= up_to - n").select(*group, "value", "total"))
