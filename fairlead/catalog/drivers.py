@@ -218,3 +218,18 @@ def q_waterfall_extended(spark, sf_dir):
 select forecast_month, brand, trade, {', '.join(f"{r(f'sum({a})', 2)} as {a}" for a in AMOUNTS)} from fcst group by all"""))
 def q_waterfall_by_month(spark, sf_dir):
     return shown(waterfall_summary(forecast(spark, sf_dir)))
+
+
+@query("monthly_drivers_incremental", with_ctes("monthly", f"select {_MONTHLY} from monthly"))
+def q_monthly_incremental(spark, sf_dir):
+    """The monthly drivers after three loads of the history, each folded in by a refresh."""
+    from fairlead.plans.incremental import append_load, read_monthly, refresh_monthly
+    from fairlead.session import fresh_path
+    from fairlead.sources.standin import history
+
+    loads, parts = fresh_path(spark, "sailing-loads"), fresh_path(spark, "monthly-parts")
+    hist = history(spark, sf_dir)
+    for k in range(3):
+        append_load(hist.where(F.pmod(F.xxhash64("sailing_id"), F.lit(3)) == k), loads)
+        refresh_monthly(spark, loads, parts)
+    return shown(read_monthly(spark, parts))
