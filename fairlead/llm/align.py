@@ -56,6 +56,25 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+class _Pieces:
+    """Token bytes of a vocabulary as one byte array with offsets, for checks without a loop over tokens."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+        self.length = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.offset = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def spell(self, ids: np.ndarray, target: np.ndarray) -> bool:
+        """Do the tokens' bytes, joined, equal ``target``?"""
+        lengths = self.length[ids]
+        if lengths.sum() != target.size:
+            return False
+        before = np.cumsum(lengths) - lengths
+        where = np.arange(target.size) + np.repeat(self.offset[ids] - before, lengths)
+        return bool(np.array_equal(self.blob[where], target))
+
+
 @functools.lru_cache(maxsize=4)
 def _tokenizers(a_path: str, b_path: str):
     import sentencepiece
@@ -77,63 +96,108 @@ def _tokenizers(a_path: str, b_path: str):
         elif b.is_control(i) or b.is_unknown(i):
             b_bytes.append(b"")
         else:
-            b_bytes.append(piece.replace("▁", " ").encode())
-    return a, b, a_bytes, b_bytes
+            b_bytes.append(piece.replace("\u2581", " ").encode())
+    return a, b, _Pieces(a_bytes), _Pieces(b_bytes)
+
 
+#: Separator bytes after a token: same side of a group, A side to B side, next group, end; 0 is dropped.
+_SEPARATORS = np.frombuffer(b",|;\x00", dtype=np.uint8)
 
-def align_text(text: str | None, a, b, a_bytes, b_bytes) -> dict:
-    """Groups and links of one text: counts, the groups' digest and the (pair key, occurrences) of its links."""
-    empty = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "keys": [], "mult": []}
+
+def align_ids(text: str | None, a_ids: np.ndarray, b_ids: np.ndarray, a_pieces: _Pieces, b_pieces: _Pieces) -> dict:
+    """Groups and links of one text from its two encodings: counts, the groups' digest, (pair key, occurrences)."""
+    empty = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "keys": _NONE, "mult": _NONE}
     if not text:
         return empty
-    target = (" " + text).encode()
-    a_ids = np.array(a.encode(" " + text, add_special_tokens=False).ids, dtype=np.int64)
-    b_ids = np.array(b.encode(text), dtype=np.int64)
-    if b"".join(a_bytes[i] for i in a_ids) != target or b"".join(b_bytes[i] for i in b_ids) != target:
+    target = np.frombuffer((" " + text).encode(), dtype=np.uint8)
+    if not a_pieces.spell(a_ids, target) or not b_pieces.spell(b_ids, target):
         return empty
-    a_end = np.cumsum([len(a_bytes[i]) for i in a_ids])
-    b_end = np.cumsum([len(b_bytes[i]) for i in b_ids])
-    a_start, b_start = a_end - [len(a_bytes[i]) for i in a_ids], b_end - [len(b_bytes[i]) for i in b_ids]
-    cuts = np.intersect1d(a_end, b_end)
+    a_end, b_end = np.cumsum(a_pieces.length[a_ids]), np.cumsum(b_pieces.length[b_ids])
+    a_start, b_start = a_end - a_pieces.length[a_ids], b_end - b_pieces.length[b_ids]
+    cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+    # Each group holds at least one token of either side: its A tokens, then its B tokens, in order.
     a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
-    a_split = np.split(a_ids, np.searchsorted(a_group, np.arange(1, len(cuts))))
-    b_split = np.split(b_ids, np.searchsorted(b_group, np.arange(1, len(cuts))))
-    digest = hashlib.sha256(";".join(
-        ",".join(map(str, ga.tolist())) + "|" + ",".join(map(str, gb.tolist())) for ga, gb in zip(a_split, b_split)).encode()).hexdigest()
+    n = len(a_ids) + len(b_ids)
+    ids, keys = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    a_place = np.arange(len(a_ids)) + np.searchsorted(b_group, a_group, side="left")
+    b_place = np.arange(len(b_ids)) + np.searchsorted(a_group, b_group, side="right")
+    ids[a_place], ids[b_place], keys[a_place], keys[b_place] = a_ids, b_ids, a_group * 2, b_group * 2 + 1
+    step = np.diff(keys)
+    code = np.where(step == 0, 0, np.where((step == 1) & (keys[:-1] % 2 == 0), 1, 2))
+    digest = hashlib.sha256(_decimal_text(ids, _SEPARATORS[np.append(code, 3)])).hexdigest()
     low = np.searchsorted(b_end, a_start, side="right")
     high = np.searchsorted(b_start, a_end, side="left")
     per = high - low
     which_a = np.repeat(np.arange(len(a_ids)), per)
     which_b = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(low, per)
-    keys, mult = np.unique(a_ids[which_a] * PACK + b_ids[which_b], return_counts=True)
+    pair_keys, mult = np.unique(a_ids[which_a] * PACK + b_ids[which_b], return_counts=True)
     return {"n_a": len(a_ids), "n_b": len(b_ids), "n_groups": len(cuts), "n_links": int(per.sum()), "groups_sha256": digest,
-            "keys": keys.tolist(), "mult": mult.tolist()}
+            "keys": pair_keys, "mult": mult.astype(np.int64)}
+
+
+_NONE = np.zeros(0, dtype=np.int64)
+_POWERS = 10 ** np.arange(18, -1, -1, dtype=np.int64)
+
+
+def _decimal_text(ids: np.ndarray, after: np.ndarray) -> bytes:
+    """Decimal digits of each non-negative id followed by its separator byte (0: none), as one byte string."""
+    width = len(str(int(ids.max()))) if ids.size else 1
+    powers = _POWERS[-width:]
+    digits = (ids[:, None] // powers[None, :]) % 10
+    lead = ids[:, None] >= powers[None, :]
+    lead[:, -1] = True
+    cells = np.where(lead, digits + ord("0"), 0).astype(np.uint8)
+    text = np.concatenate([cells, after[:, None]], axis=1).ravel()
+    return text[text != 0].tobytes()
+
+
+def align_text(text: str | None, a, b, a_pieces: _Pieces, b_pieces: _Pieces) -> dict:
+    """``align_ids`` of one text, encoding it by both tokenizers."""
+    if not text:
+        return align_ids(text, _NONE, _NONE, a_pieces, b_pieces)
+    return align_ids(text, np.array(a.encode(" " + text, add_special_tokens=False).ids, dtype=np.int64),
+                     np.array(b.encode(text), dtype=np.int64), a_pieces, b_pieces)
+
+
+def _lists(arrays: list[np.ndarray]):
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else _NONE
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int64()))
 
 
 def tokens(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Rows of ``docs`` with a row key ``_row`` (partition and place), counts, digest, keys and mult of their links."""
+    """Rows of ``docs`` with a row key ``_row`` (partition and place), counts, digest, keys and mult of their links.
+
+    Texts are encoded one at a time by both libraries; the other columns pass through as Arrow arrays.
+    """
     rest = [c for c in docs.columns if c not in (*OUTPUTS, "_row", "keys", "mult") and (keep_text or c != text)]
     schema = T.StructType([docs.schema[c] for c in rest] + [
         T.StructField("_row", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_groups", "n_links")],
         T.StructField("groups_sha256", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())),
         T.StructField("mult", T.ArrayType(T.LongType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
-        a, b, a_bytes, b_bytes = _tokenizers(a_path, b_path)
+        a, b, a_pieces, b_pieces = _tokenizers(a_path, b_path)
         place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            found = pd.DataFrame([align_text(t, a, b, a_bytes, b_bytes) for t in batch[text]],
-                                 columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "keys", "mult"], index=batch.index)
-            out = batch[rest].copy()
-            out["_row"] = np.arange(place, place + len(batch), dtype=np.int64)
-            place += len(batch)
-            for c in found.columns:
-                out[c] = found[c]
-            yield out
-
-    return docs.mapInPandas(run, schema)
+            # One text at a time: only its ids are kept, never a batch of encodings with offsets and strings.
+            found = [align_text(t, a, b, a_pieces, b_pieces) for t in batch.column(text).to_pylist()]
+            n = batch.num_rows
+            columns = [batch.column(c) for c in rest] + [
+                pa.array(np.arange(place, place + n, dtype=np.int64)),
+                *[pa.array(np.array([f[c] for f in found], dtype=np.int64)) for c in ("n_a", "n_b", "n_groups", "n_links")],
+                pa.array([f["groups_sha256"] for f in found], type=pa.string()),
+                _lists([f["keys"] for f in found]), _lists([f["mult"] for f in found])]
+            place += n
+            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "_row", "n_a", "n_b", "n_groups", "n_links",
+                                                             "groups_sha256", "keys", "mult"])
+
+    return docs.mapInArrow(run, schema)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
