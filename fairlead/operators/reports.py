@@ -114,9 +114,12 @@ def preset_scenarios(forecast: DataFrame) -> DataFrame:
 
 
 def ntr_by(forecast: DataFrame, column: str) -> DataFrame:
-    """Net revenue by a column with its share of the total; the window runs over the groups only."""
+    """Net revenue by a column with its share of the total; the total is a scalar sum of the groups' sums.
+
+    No window without partitions: a column with very many values (ships, sailings) is never gathered in one task.
+    """
     sums = forecast.groupBy(column).agg(F.sum("net_ticket_revenue").alias("ntr"))
-    return sums.withColumn("share", S.safe_div("ntr", F.sum("ntr").over(Window.partitionBy())))
+    return sums.withColumn("share", S.safe_div(F.col("ntr"), sums.agg(F.sum("ntr")).scalar()))
 
 
 PERIODS = {
