@@ -153,6 +153,56 @@ def test_hot_pairs_are_salted_without_loss(spark, monkeypatch):
     assert sorted(tuple(r) for r in got[cols].itertuples(index=False)) == sorted(_plain_alignment(texts))
 
 
+def _library(path):
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(path)
+    a.encode_special_tokens = True
+    return a
+
+
+def test_fast_encoder_gives_the_librarys_ids():
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.json")
+    a = _library(path)
+    encode = align._encoder(path, a)
+    assert align._mergeable_ranks(path, a) is not None
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f" {c}{c}a{c}1 {c}\n{c}!" for c in points[i:i + 2000]) for i in range(0, len(points), 2000)]
+    rng = random.Random(9)
+    for letters in ("ab", "aab", "theing ", "01", " \n\t", "é東ñ😀", "!-=_*'s"):
+        texts += ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 7, 120, 700, 3000) for _ in range(5)]
+    texts += [" <|endoftext|>x<|endoftext|>", "a" * 5000, "", " " * 5]
+    assert [t[:20] for t in texts if encode(t) != a.encode(t, add_special_tokens=False).ids] == []
+
+
+def test_long_runs_of_white_space_are_encoded_by_the_library():
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.json")
+    a = _library(path)
+    text = "x" + " " * 1_500_000 + "y"
+    assert align._encoder(path, a)(text) == a.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabulary_files_keep_the_library(tmp_path):
+    import json
+
+    import public_tokenizers as P
+
+    spec = json.load(open(P.path("byte_bpe_50k.json")))
+    odd = [lambda s: s["model"]["merges"].reverse(), lambda s: s["pre_tokenizer"].update(add_prefix_space=True),
+           lambda s: s.update(normalizer={"type": "Lowercase"}), lambda s: s["model"]["merges"].pop()]
+    for k, change in enumerate(odd):
+        other, path = json.loads(json.dumps(spec)), str(tmp_path / f"{k}.json")
+        change(other)
+        json.dump(other, open(path, "w"))
+        a = _library(path)
+        assert align._mergeable_ranks(path, a) is None
+        assert align._encoder(path, a)(" Some Text") == a.encode(" Some Text", add_special_tokens=False).ids
+
+
 def test_byte_alphabet_is_a_bijection():
     table = align.byte_alphabet()
     assert len(table) == 256 and sorted(table.values()) == list(range(256)) and table["Ġ"] == 32
