@@ -64,6 +64,41 @@ def test_quantiles_of_many_distinct_values(spark):
     assert all(got[f"v_{k}"] == pytest.approx(np.quantile(want, p), rel=1e-12) for k, p in PERCENTILES.items())
 
 
+def test_bins_are_few_and_in_order(spark):
+    from fairlead.operators.quantiles import BITS, WIDE_BITS, coarse_bin
+    values = spark.range(200_000).select((F.col("id") + 100_000).cast("double").alias("v"))
+    fine = coarse_bin(F.col("v"))
+    got = values.select(F.count_distinct(fine).alias("fine"), F.count_distinct(coarse_bin(fine, WIDE_BITS)).alias("wide")).first()
+    doublings = 2  # 100,000 to 300,000
+    assert 2 < got.wide <= doublings * 2 ** (WIDE_BITS - 1) and got.wide < got.fine <= doublings * 2 ** (BITS - 1)
+    inf = float("inf")
+    ends = spark.createDataFrame([(v,) for v in (-inf, -1.7e308, -1e290, -2.5, -0.0, 0.0, 2.5, 1e290, 1.7e308, inf, float("nan"))],
+                                 "v double")
+    bins = [(r.b, r.w) for r in ends.withColumn("b", coarse_bin(F.col("v"))).withColumn("w", coarse_bin(F.col("b"), WIDE_BITS))
+            .orderBy("v").collect()]
+    assert bins == sorted(bins) and all(abs(b) < inf and abs(w) < inf for b, w in bins)
+
+
+def test_quantiles_inside_wide_bins(spark):
+    rng = np.random.default_rng(11)
+    groups = {
+        "near": 5.0 + rng.integers(0, 3000, 4000) * 1e-9,                       # one bin, many values
+        "one wide": 1.0 + rng.integers(0, 900, 5000) / 65536,                   # one wide bin, many bins
+        "mixed": np.round(rng.normal(0, 10.0 ** rng.integers(-6, 7, 6000)), 7),  # both signs, thirteen powers of ten
+        "crowded": rng.choice([-2.5, 0.0, 0.1, 7.0], 3000), "two": np.array([-1e300, 1e300]), "four": np.array([1.0, 2.0, 4.0, 8.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(None, 3.0), (None, 4.0)]
+    got = {r.k: r for r in group_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], ["v"], PERCENTILES).collect()}
+    assert len(got) == 7
+    for k, vs in [*groups.items(), (None, np.array([3.0, 4.0]))]:
+        for label, p in PERCENTILES.items():
+            assert got[k][f"v_{label}"] == pytest.approx(np.quantile(vs, p), rel=1e-9, abs=1e-12), (k, label)
+
+
+def test_values_that_are_no_numbers_come_last(spark):
+    values = [1.0, 20.0, 30.0, 40.0, float("nan")]
+    assert group_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), [], ["v"], {"med": 0.5}).first().v_med == 30.0
+
+
 def test_quantiles_of_constant_and_single_values(spark):
     df = spark.createDataFrame([("a", 5.0)] * 1000 + [("b", 1.0)] + [("c", None)], "k string, v double")
     got = {r.k: r for r in group_quantiles(df, ["k"], ["v"], PERCENTILES).collect()}
